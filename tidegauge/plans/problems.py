@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.geo import parse_point
-from ..operators import nearby
+from ..operators import nearby, packed_values
+from ..sources import strict_rows
 from ..sources.tables import table
 from .registry import QUERIES
 
@@ -32,3 +33,20 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["p4_found"] = p4_found
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return packed_values.split_packed(table(spark, folder, "consolidated", "row_id", "locations", "statements"), "row_id", "locations", "statements")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return strict_rows.failed_rows(table(spark, folder, "packed_rows", "line_no", "raw_line"))
+
+
+def p5_loaded(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines that load: the offset, the id and how much each holds."""
+    rows = strict_rows.load_rows(table(spark, folder, "packed_rows", "line_no", "raw_line"))
+    return rows.select("line_no", "event_id", "lat", "lon", F.size("locations").alias("places"), F.size("statements").alias("statements"))
+
+
+QUERIES.update({"p1_found": p1_found, "p5_found": p5_found, "p5_loaded": p5_loaded})
