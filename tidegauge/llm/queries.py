@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import overlap
+from . import language, leakage, overlap
 from .tables import conversation_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,4 +26,30 @@ def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlap_counts(p2_pairs(spark, folder), table(spark, folder, "test_total", "id", "split", "dataset"), ["split", "dataset"])
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_counts": p2_counts}
+def _passages(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "eval_passages", "item_id", "passage").toDF("id", "text")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text").toDF("id", "text")
+    return leakage.leaked_passages(docs, _passages(spark, folder)).withColumn("item_id", F.col("item_id").cast("int"))
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaked_items(p7_found(spark, folder), _passages(spark, folder))
+
+
+def p9_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's segments with language and confidence."""
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang").toDF("id", "text", "lang")
+    return language.language_segments(docs).select("doc_id", "seg_no", "language", F.round("confidence", 6).alias("confidence"), "lines")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang").toDF("id", "text", "lang")
+    return language.relabelled(language.language_segments(docs))
+
+
+QUERIES: dict[str, Query] = {
+    "p2_found": p2_found, "p2_counts": p2_counts, "p7_found": p7_found, "p7_items": p7_items, "p9_found": p9_found, "p9_segments": p9_segments,
+}
