@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import language, leakage, overlap
+from . import language, leakage, overlap, residue
+from .statements import statements
 from .tables import conversation_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +51,20 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return language.relabelled(language.language_segments(docs))
 
 
+def _judged(spark: SparkSession, folder: str) -> DataFrame:
+    said = statements(table(spark, folder, "consolidated", "row_id", "statements"), "row_id", "statements")
+    return residue.judge(said, residue.fit(said))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _judged(spark, folder).filter("residue").select(F.col("id").alias("row_id"), "pos")
+
+
+def p6_records(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.records(_judged(spark, folder)).withColumnRenamed("id", "row_id")
+
+
 QUERIES: dict[str, Query] = {
-    "p2_found": p2_found, "p2_counts": p2_counts, "p7_found": p7_found, "p7_items": p7_items, "p9_found": p9_found, "p9_segments": p9_segments,
+    "p2_found": p2_found, "p2_counts": p2_counts, "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p7_items": p7_items,
+    "p9_found": p9_found, "p9_segments": p9_segments,
 }
