@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import language, leakage, overlap, residue
+from . import answers, language, leakage, overlap, residue
 from .statements import statements
-from .tables import conversation_texts
+from .tables import answers_with_questions, conversation_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,15 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return language.relabelled(language.language_segments(docs))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    model = language.fit(table(spark, folder, "documents", "doc_id", "text", "lang").toDF("id", "text", "lang"))
+    return answers.defective_answers(answers_with_questions(spark, folder), model)
+
+
+def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_found(spark, folder).groupBy("origin", "field_name", "defect").agg(F.count("*").alias("answers"))
+
+
 def _judged(spark: SparkSession, folder: str) -> DataFrame:
     said = statements(table(spark, folder, "consolidated", "row_id", "statements"), "row_id", "statements")
     return residue.judge(said, residue.fit(said))
@@ -65,6 +74,7 @@ def p6_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "p2_found": p2_found, "p2_counts": p2_counts, "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p7_items": p7_items,
+    "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_counts": p3_counts,
+    "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p7_items": p7_items,
     "p9_found": p9_found, "p9_segments": p9_segments,
 }
