@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import answers, language, leakage, overlap, residue
+from . import answers, language, leakage, mixing, overlap, residue, tokens
 from .statements import statements
 from .tables import answers_with_questions, conversation_texts
 
@@ -40,6 +40,16 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_items(p7_found(spark, folder), _passages(spark, folder))
 
 
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each document stands in the largest mix that reaches all target shares."""
+    sizes = tokens.token_counts(table(spark, folder, "documents", "doc_id", "source", "text").withColumnRenamed("doc_id", "id"))
+    return mixing.mix(sizes, table(spark, folder, "mix_targets")).withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(p8_mix(spark, folder), table(spark, folder, "mix_targets"))
+
+
 def p9_segments(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's segments with language and confidence."""
     docs = table(spark, folder, "documents", "doc_id", "text", "lang").toDF("id", "text", "lang")
@@ -75,6 +85,6 @@ def p6_records(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_counts": p3_counts,
-    "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p7_items": p7_items,
+    "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p7_items": p7_items, "p8_shares": p8_shares, "p8_mix": p8_mix,
     "p9_found": p9_found, "p9_segments": p9_segments,
 }
