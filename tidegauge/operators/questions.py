@@ -69,7 +69,7 @@ def location_identification(rows: DataFrame, key: str, places: str = "places", e
     able = rows.filter((F.size(places) >= 2) & (F.size(events) > 0)).withColumn("_p", F.element_at(places, draw(F.size(places), seed, "place", F.col(key)) + 1))
     right = pixel_text(F.col("_p.x"), F.col("_p.y"))
     wrong = F.array(*(pixel_text(draw(size, seed, "x", k, F.col(key)), draw(size, seed, "y", k, F.col(key))) for k in range(3)))
-    named = F.concat(F.col("_p.name"), F.lit(" ("), F.format_string("%.6f", F.col("_p.lat")), F.lit(", "), F.format_string("%.6f", F.col("_p.lon")), F.lit(")"))
+    named = F.concat(F.col("_p.name"), F.lit(" ("), F.col("_p.lat").cast("string"), F.lit(", "), F.col("_p.lon").cast("string"), F.lit(")"))
     question = _fill(F.lit(TEMPLATES["location_identification"][0]), location=named)
     explanation = F.concat(F.lit("The "), F.col("_p.name"), F.lit(" is located at "), right, F.lit(" as shown in the satellite imagery."))
     return _question(able, key, "location_identification", question, right, F.concat(wrong, F.array(right)), explanation, seed)

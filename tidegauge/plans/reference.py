@@ -52,6 +52,14 @@ _DE = "de as (select * from (select *, row_number() over (partition by idx order
 _CO = r"""co as (select line_no, string_split(raw_line, ',')[1] as id, string_split(raw_line, ',')[2] as url, try_cast(trim(trim(string_split(raw_line, ',')[3], '(')) as double) as clat, try_cast(trim(trim(string_split(raw_line, ',')[4], ')')) as double) as clon from packed_rows where raw_line is not null)"""
 
 
+_IDX = r"try_cast(nullif(regexp_extract(string_split(raw_line, ',')[1], '^\d+$'), '') as int)"
+
+
+def _whole_number(c: str):
+    """The id of a packed line, which counts only if it is all digits."""
+    return F.regexp_extract(c, r"^\d+$", 0).try_cast("int")
+
+
 def _statements(spark: SparkSession, folder: str, phrases=QUIET) -> DataFrame:
     rows = table(spark, folder, "consolidated", "row_id", "event_id", "statements").filter("statements is not null")
     return rows.select("row_id", "event_id", parsing.dated_statements(F.col("statements"), phrases).alias("st"))
@@ -322,7 +330,7 @@ def bounding_box(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""with {_PL}, {_DE}, c as (select distinct p.line_no, d.lat as flat, d.lon as flon from pl p join de d on d.idx = try_cast(string_split(p.raw_line, ',')[1] as int) where d.lat is not null and d.lon is not null),
+    f"""with {_PL}, {_DE}, c as (select distinct p.line_no, d.lat as flat, d.lon as flon from pl p join de d on d.idx = {_IDX.replace('raw_line', 'p.raw_line')} where d.lat is not null and d.lon is not null),
 pts as (select p.line_no, row_number() over (partition by p.line_no order by p.pos) as k, p.lat, p.lon from pl p join c using (line_no) union all select line_no, 1000000, flat, flon from c),
 cand as (select a.line_no, a.k as i, b.k as j, a.lat, b.lon, c.flat, c.flon from pts a join pts b using (line_no) join c using (line_no)),
 n as (select cand.line_no, i, j, cand.lat, cand.lon, sum((abs(pts.lat - cand.lat) <= 0.05::double and abs(pts.lon - cand.lon) <= 0.05::double)::int)::int as n from cand join pts using (line_no)
@@ -331,7 +339,7 @@ select line_no, n, lat, lon from (select *, row_number() over (partition by line
 )
 def best_image_centre(spark: SparkSession, folder: str) -> DataFrame:
     declared = _declared(spark, folder).select("idx", F.col("lat").alias("flat"), F.col("lon").alias("flon"))
-    rows = _places(spark, folder).withColumn("idx", F.col("id").try_cast("int")).join(declared, "idx")
+    rows = _places(spark, folder).withColumn("idx", _whole_number("id")).join(declared, "idx")
     return rows.select("line_no", places.best_centre(F.col("places"), F.col("flat"), F.col("flon")).alias("c")).filter("c is not null").select("line_no", "c.*")
 
 
@@ -379,17 +387,22 @@ def geo_to_pixel(spark: SparkSession, folder: str) -> DataFrame:
     return _pixels(spark, folder).select("line_no", F.explode("places").alias("p")).select("line_no", "p.name", "p.x", "p.y")
 
 
-@query()
+@query(
+    rf"""with {_PL}, {_CO}, px as (select pl.line_no, pl.pos, name, {_PIXEL} from pl join co using (line_no) where abs(clat) <= 90 and abs(clon) <= 180),
+s as (select line_no, list(name || chr(1) || name || ' (' || x || ', ' || y || ')' order by pos) as specs from px group by line_no)
+select line_no, list_reduce(list_concat([regexp_extract(raw_line, '(?s)\[.*')], coalesce(specs, [])), lambda a, x: regexp_replace(a, '\b\Q' || split_part(x, chr(1), 1) || '\E\b', split_part(x, chr(1), 2), 'g')) as text
+from packed_rows join co using (line_no) left join s using (line_no) where abs(clat) <= 90 and abs(clon) <= 180"""
+)
 def augment_locations(spark: SparkSession, folder: str) -> DataFrame:
     """The text of each packed line with the pixel after every place that it names."""
-    rows = _pixels(spark, folder).withColumn("text", F.regexp_extract("raw_line", r"\[.*", 0))
+    rows = _pixels(spark, folder).withColumn("text", F.regexp_extract("raw_line", r"(?s)\[.*", 0))
     return rows.select("line_no", parsing.augmented(F.col("text"), F.col("places")).alias("text"))
 
 
-@query(f"with {_PL}, g as (select name, arg_min(lat, (line_no, pos)) as lat, arg_min(lon, (line_no, pos)) as lon from pl group by name) select event_id, name, g.lat, g.lon from (select distinct try_cast(string_split(raw_line, ',')[1] as int) as event_id, name from pl where line_no % 2 = 0) join g using (name)")
+@query(f"with {_PL}, g as (select name, arg_min(lat, (line_no, pos)) as lat, arg_min(lon, (line_no, pos)) as lon from pl group by name) select event_id, name, g.lat, g.lon from (select distinct {_IDX} as event_id, name from pl where line_no % 2 = 0) join g using (name)")
 def offline_geocode(spark: SparkSession, folder: str) -> DataFrame:
     """Place names looked up in a gazetteer, here made of the first place of each name; names that it lacks are dropped."""
-    found = _places(spark, folder).select("line_no", F.col("id").try_cast("int").alias("event_id"), F.explode("places").alias("p"))
+    found = _places(spark, folder).select("line_no", _whole_number("id").alias("event_id"), F.explode("places").alias("p"))
     at = F.struct("line_no", "p.pos")
     gazetteer = found.groupBy(F.col("p.name").alias("name")).agg(F.min_by("p.lat", at).alias("lat"), F.min_by("p.lon", at).alias("lon"))
     asked = found.filter("line_no % 2 = 0").select("event_id", F.col("p.name").alias("name")).distinct()
@@ -491,21 +504,55 @@ def _place_rows(spark: SparkSession, folder: str) -> DataFrame:
     told = parsing.event_list(F.regexp_extract("raw_line", r"\[[^\]]*\]", 0), QUIET_TEMPLATED)
     rows = _pixels(spark, folder).withColumn("events", told)
     types = _declared(spark, folder).select(F.col("idx").alias("event"), F.col("incident_type").alias("event_type"))
-    return events.with_type(rows.withColumn("event_id", F.col("id").try_cast("int")), types, "event_id")
+    return events.with_type(rows.withColumn("event_id", _whole_number("id")), types, "event_id")
 
 
-@query()
+_PLACED = rf"""{_PL}, {_CO}, {_DE}, px as (select pl.line_no, pl.raw_line, pl.pos, name, lat, lon, {_PIXEL} from pl join co using (line_no) where abs(clat) <= 90 and abs(clon) <= 180),
+le as (select line_no, raw_line, trim(translate(regexp_extract(raw_line, '\[[^\]]*\]'), chr(10) || chr(13) || chr(9), '   '), '[]''') as f from packed_rows),
+lr as (select line_no, unnest(regexp_split_to_array(f, '\d{{4}}-')) as rest from le),
+lv as (select distinct line_no from lr where strpos(rest, ':') > 0 and not {_holds("substr(rest, strpos(rest, ':') + 1)", QUIET_TEMPLATED)}),
+ps as (select px.line_no, px.raw_line, list({{'name': px.name, 'lat': px.lat, 'lon': px.lon, 'x': px.x, 'y': px.y}} order by pos) as ps from px semi join lv using (line_no) group by px.line_no, px.raw_line having count(*) >= 2),
+pt as (select ps.*, coalesce(de.incident_type, '{fixed.DEFAULT_TYPE}') as event_type from ps left join de on {_IDX} = de.idx)"""
+
+
+def _wrong_sql(k: int) -> str:
+    return f"'(' || {_draw_sql('512', repr(str(questions.SEED)), repr('x'), repr(str(k)), 'line_no::varchar')} || ', ' || {_draw_sql('512', repr(str(questions.SEED)), repr('y'), repr(str(k)), 'line_no::varchar')} || ')'"
+
+
+@query(
+    _question_sql(
+        f"{_PLACED}, pp as (select line_no, event_type, ps[1 + {_draw_sql('len(ps)', repr(str(questions.SEED)), repr('place'), 'line_no::varchar')}] as p from pt)",
+        f"select line_no, p, '(' || p.x || ', ' || p.y || ')' as correct, [{', '.join(_wrong_sql(k) for k in range(3))}, '(' || p.x || ', ' || p.y || ')'] as pool from pp",
+        "location_identification", "line_no", f"replace('{fixed.TEMPLATES['location_identification'][0]}', '{{location}}', p.name || ' (' || p.lat || ', ' || p.lon || ')')",
+        "'The ' || p.name || ' is located at ' || correct || ' as shown in the satellite imagery.'",
+    )
+)
 def mcq_location(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(questions.location_identification(_place_rows(spark, folder), "line_no"))
 
 
-@query()
+_DAMAGE = "Which place was damaged most by the {event_type}?"
+
+
+@query(
+    _question_sql(
+        f"{_PLACED}, pp as (select line_no, event_type, list_transform(ps, lambda q: q.name) as pool, ps[1 + {_draw_sql('len(ps)', repr(str(questions.SEED)), repr('damage'), 'line_no::varchar')}].name as correct from pt)",
+        "select * from pp", "damage_assessment", "line_no", f"replace('{_DAMAGE}', '{{event_type}}', event_type)",
+        "'The satellite images show that ' || correct || ' experienced the greatest damage from the ' || lower(event_type) || '.'",
+    )
+)
 def mcq_damage(spark: SparkSession, folder: str) -> DataFrame:
     """Not among the usual questions, for it has no template; this one is the query's own."""
-    return _flat(questions.damage_assessment(_place_rows(spark, folder), "line_no", "Which place was damaged most by the {event_type}?"))
+    return _flat(questions.damage_assessment(_place_rows(spark, folder), "line_no", _DAMAGE))
 
 
-@query()
+@query(
+    f"""with asked as ({SQL["mcq_temporal"]}), rows as (with {_EV} select row_id, event_id, count(distinct date)::int as dates, array_to_string(list_sort(list_distinct(list(date))), ',') as timestamps from ev group by row_id, event_id),
+paths as (with {_IM} select folder_id, count(*)::int as images from im group by folder_id), declared as (with {_DE} select idx, lat, lon from de where lat is not null and lon is not null)
+select (row_number() over (order by a.row_id) - 1)::bigint as id, a.row_id, r.event_id as folder_id, 'FrameEvents' as dataset, a.task, images, r.dates, r.timestamps,
+  '{fixed.INTRODUCTION}(' || d.lat || ', ' || d.lon || '):' || chr(10) || '<video>' || chr(10) || a.question || chr(10) || a.options as human, a.label || ' ' || chr(10) || a.explanation as gpt
+from asked a join rows r using (row_id) join paths on r.event_id = paths.folder_id join declared d on r.event_id = d.idx"""
+)
 def qa_record_build(spark: SparkSession, folder: str) -> DataFrame:
     """Whole records of the templated questions on dates, with images, centre and conversation."""
     rows = _events(spark, folder)
