@@ -57,11 +57,11 @@ _NAMES = r"""'\s*"[^"]*"'|"\s*'[^']*'"|"[^"]*"|'[^']*'|[^,;|/\n\r\t"'\[\]{}()]+"
 
 # Names in quotes (perhaps within other quotes) are whole; the rest is cut at delimiters and brackets.
 SQL["p1_found"] = (
-    r"with l as (select row_id, list_filter(list_transform(regexp_extract_all(regexp_replace(locations, '{coords}', '', 'g'), '{names}'), lambda v: trim(v, ' ""''')), lambda v: v <> '') as items from consolidated where locations is not null), "
+    r"with l as (select row_id, list_filter(list_transform(regexp_extract_all(regexp_replace(locations, '{coords}', '', 'g'), '{names}'), lambda v: trim(v, ' ''' || chr(34))), lambda v: v <> '') as items from consolidated where locations is not null), "
     r"s as (select row_id, list_transform(regexp_extract_all(statements, '(\d{4}[-/]\d{2}[-/]\d{2})(?:\s*:|\s+[-–—]\s)', 1), lambda v: replace(v, '/', '-')) as items from consolidated where statements is not null), "
     r"b as (select row_id, 'locations' as field_name, items from l union all select row_id, 'statements', items from s) "
     r"select row_id, field_name, (i - 1)::int as pos, items[i] as item from (select *, unnest(range(1, len(items) + 1)) as i from b where len(items) >= 2)"
-).replace("{coords}", _COORDS).replace("{names}", _NAMES).replace('""', '"', 1)
+).replace("{coords}", _COORDS).replace("{names}", _NAMES)
 
 SQL["p4_found"] = r"""with n as (select distinct event_id, regexp_extract_all(coordinates, '[+-]?\d+(?:\.\d+)?') as v from consolidated where coordinates is not null and event_id is not null),
 c as (select distinct event_id, v[1]::double as lat, v[2]::double as lon from n where len(v) = 2),
