@@ -25,8 +25,8 @@ def parse_point(text: Column) -> Column:
 
 
 def to_pixel(value: Column, centre: Column, span: float, size: int = 512) -> Column:
-    """Pixel of a coordinate: the whole globe (``span`` degrees) over ``size`` pixels, cut toward zero."""
-    return ((value - centre) * F.lit(size / span) + F.lit(size / 2)).cast("int")
+    """Pixel of a coordinate: the whole globe (``span`` degrees) over ``size`` pixels, cut toward zero; null if there is none."""
+    return ((value - centre) * F.lit(size / span) + F.lit(size / 2)).try_cast("int")
 
 
 def footprint(lat: Column, lon: Column, half: float = 0.05) -> list[Column]:

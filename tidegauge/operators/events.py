@@ -51,14 +51,13 @@ def consolidated(rows: DataFrame, key: str, statements: str) -> DataFrame:
     told = F.array_sort(
         F.transform(F.filter(statements, lambda s: ~s["is_no_event"]), lambda s: F.struct(s["date"].alias("date"), s["pos"].alias("pos"), s["statement"].alias("statement")))
     )
-
-    def bucket(d: Column, i: Column) -> Column:
-        start = F.when(i == 0, F.lit("0000-00-00")).otherwise(F.element_at("dates", F.greatest(i, F.lit(1))))
-        inside = F.filter(F.col("_told"), lambda s: (s["date"] > start) & (s["date"] <= d))
-        joined = F.array_join(F.transform(inside, lambda s: s["statement"]), " ")
-        return F.struct(d.alias("image_date"), F.when(F.size(inside) > 0, joined).otherwise(FILLER).alias("statements"))
-
-    return rows.withColumn("_told", told).select(key, F.explode(F.transform("dates", bucket)).alias("b")).select(key, "b.image_date", "b.statements")
+    # The row is laid out once per date; each copy picks its statements.
+    each = rows.select(key, told.alias("_told"), F.col("dates").alias("_dates"), F.posexplode("dates").alias("_i", "image_date"))
+    start = F.when(F.col("_i") == 0, F.lit("0000-00-00")).otherwise(F.element_at("_dates", F.greatest(F.col("_i"), F.lit(1))))
+    each = each.withColumn("_start", start)
+    each = each.withColumn("_in", F.filter("_told", lambda s: (s["date"] > F.col("_start")) & (s["date"] <= F.col("image_date"))))
+    joined = F.array_join(F.transform("_in", lambda s: s["statement"]), " ")
+    return each.select(key, "image_date", F.when(F.size("_in") > 0, joined).otherwise(FILLER).alias("statements"))
 
 
 def repacked(buckets: DataFrame, key: str) -> DataFrame:

@@ -14,17 +14,13 @@ _DATED = r"(\d{4}-\d{2}-\d{2}):\s*"
 def dated_statements(text: Column, phrases=NO_EVENT_READ) -> Column:
     """ARRAY<STRUCT<pos, date, statement, is_no_event>> of "yyyy-MM-dd: text" pairs; text before the first date belongs to none."""
     flat = one_line(text)
-    dates = F.regexp_extract_all(flat, F.lit(_DATED), F.lit(1))
-    texts = F.split(flat, r"\d{4}-\d{2}-\d{2}:", -1)
-    return F.transform(
-        dates,
-        lambda d, i: F.struct(
-            i.alias("pos"),
-            d.alias("date"),
-            strip(F.element_at(texts, i + 2)).alias("statement"),
-            contains_any(strip(F.element_at(texts, i + 2)), phrases).alias("is_no_event"),
-        ),
+    pairs = F.arrays_zip(
+        F.regexp_extract_all(flat, F.lit(_DATED), F.lit(1)).alias("d"),
+        F.slice(F.split(flat, r"\d{4}-\d{2}-\d{2}:", -1), 2, 1_000_000_000).alias("t"),
     )
+    # Lambdas use nothing but their own variables: what they took from outside would be computed anew for each element.
+    read = F.transform(pairs, lambda p, i: F.struct(i.alias("pos"), p["d"].alias("date"), strip(p["t"]).alias("statement")))
+    return F.transform(read, lambda s: F.struct(s["pos"].alias("pos"), s["date"].alias("date"), s["statement"].alias("statement"), contains_any(s["statement"], phrases).alias("is_no_event")))
 
 
 def event_list(text: Column, phrases) -> Column:
@@ -34,20 +30,18 @@ def event_list(text: Column, phrases) -> Column:
     """
     inner = F.btrim(one_line(text), F.lit("[]'"))
     years = F.concat(F.array(F.lit("")), F.regexp_extract_all(inner, F.lit(r"\d{4}-"), F.lit(0)))
-    rests = F.split(inner, r"\d{4}-", -1)
-
-    def read(y: Column, i: Column) -> Column:
-        rest = F.element_at(rests, i + 1)
-        colon = F.position(F.lit(":"), rest)
-        return F.struct(
-            i.alias("pos"),
-            F.concat(y, strip(F.substring_index(rest, ":", 1))).alias("date"),
-            F.when(colon > 0, F.substring(rest, colon + 1, F.length(rest))).alias("event"),
-        )
-
-    pairs = F.filter(F.transform(years, read), lambda e: e["event"].isNotNull())
-    kept = F.filter(pairs, lambda e: ~contains_any(e["event"], phrases))
-    return F.transform(kept, lambda e: F.struct(e["pos"].alias("pos"), e["date"].alias("date"), strip(e["event"]).alias("event")))
+    pairs = F.arrays_zip(years.alias("y"), F.split(inner, r"\d{4}-", -1).alias("r"))
+    numbered = F.transform(pairs, lambda p, i: F.struct(i.alias("pos"), p["y"].alias("y"), p["r"].alias("r"), F.position(F.lit(":"), p["r"]).alias("colon")))
+    told = F.filter(numbered, lambda p: p["colon"] > 0)
+    read = F.transform(
+        told,
+        lambda p: F.struct(
+            p["pos"].alias("pos"),
+            F.concat(p["y"], strip(F.substring(p["r"], F.lit(1), p["colon"] - 1))).alias("date"),
+            strip(F.substring(p["r"], p["colon"] + 1, F.length(p["r"]))).alias("event"),
+        ),
+    )
+    return F.filter(read, lambda e: ~contains_any(e["event"], phrases))
 
 
 def place_map(text: Column, keep=None) -> Column:
@@ -74,7 +68,8 @@ def place_map(text: Column, keep=None) -> Column:
     found = F.filter(F.transform(pairs, read), lambda p: p["lat"].isNotNull() & p["lon"].isNotNull())
     if keep is not None:
         found = F.filter(found, keep)
-    return F.filter(found, lambda p: ~F.exists(found, lambda q: (q["name"] == p["name"]) & (q["pos"] > p["pos"])))
+    none = F.array().cast("array<struct<pos:int,name:string,lat:double,lon:double>>")
+    return F.aggregate(found, none, lambda kept, p: F.concat(F.filter(kept, lambda q: q["name"] != p["name"]), F.array(p)))
 
 
 def record_fields(line: Column) -> Column:
@@ -157,28 +152,28 @@ def _between(text: Column, begin: str, end: str | None) -> Column:
     return F.when(F.locate(end, found) > 0, F.substring(found, F.lit(1), F.locate(end, found) - 1))
 
 
-def generated_choices(text: Column) -> Column:
-    """ARRAY<STRUCT<pos, question, options ARRAY<STRUCT<letter, text>>, correct_answer>> of a model's response with three marked questions.
+def generated_choices(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Questions of model responses with three marked ones: key, pos, question, options ARRAY<STRUCT<letter, text>>, correct_answer.
 
     Question i must be followed by its answer before question i + 1 begins, so a question is skipped if the next one is missing;
     one without options or answer is dropped.
     """
-    found = []
-    for i in (1, 2, 3):
-        ask, answer, following = f"**Question {i}:**", f"**Correct Answer {i}:**", f"**Question {i + 1}:**"
-        begin = F.when(F.locate(ask, text) > 0, F.locate(ask, text) + len(ask)).otherwise(len(ask))
-        rest = F.substring(text, begin, F.lit(1_000_000_000))
-        block = F.when(F.locate(answer, rest) > 0, F.substring(rest, F.lit(1), F.locate(answer, rest) - 1))
-        stop = F.locate(following, text) - 1 if i < 3 else F.length(text)
-        fits = block.isNotNull() & (begin - 1 + F.length(block) <= stop)
-        lines = F.split(strip(block), "\n", -1)
-        options = F.filter(F.transform(F.slice(lines, 2, 1000), strip), lambda o: F.rlike(o, F.lit(r"^[ABCD]\)")))
-        options = F.transform(options, lambda o: F.struct(F.substring(o, 1, 1).alias("letter"), strip(F.substring(o, 3, 100_000)).alias("text")))
-        said = _between(text, answer, following) if i < 3 else None
-        said = F.coalesce(said, _between(text, answer, None)) if said is not None else _between(text, answer, None)
-        one = F.struct(F.lit(i).alias("pos"), strip(lines[0]).alias("question"), options.alias("options"), strip(said).alias("correct_answer"))
-        found.append(F.when(fits & (F.size(options) > 0) & (strip(said) != ""), one))
-    return F.filter(F.array(*found), lambda q: q.isNotNull())
+    asked = rows.select(key, F.col(text).alias("_t"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("pos"))
+    mark = lambda said, plus=0: F.concat(F.lit(f"**{said} "), (F.col("pos") + plus).cast("string"), F.lit(":**"))
+    far = F.lit(1_000_000_000)
+    rest = asked.withColumn("_ask", F.position(mark("Question"), "_t")).filter("_ask > 0").withColumn("_begin", F.col("_ask") + F.length(mark("Question")))
+    rest = rest.withColumn("_rest", F.substring("_t", F.col("_begin"), far))
+    rest = rest.withColumn("_answer", F.position(mark("Correct Answer"), "_rest")).filter("_answer > 0")
+    stop = F.when(F.col("pos") < 3, F.position(mark("Question", 1), "_t") - 1).otherwise(F.length("_t"))
+    rest = rest.withColumn("_stop", stop).filter("_begin - 1 + _answer - 1 <= _stop")
+    after = F.substring("_rest", F.col("_answer") + F.length(mark("Correct Answer")), far)
+    rest = rest.withColumn("_after", after).withColumn("_next", F.when(F.col("pos") < 3, F.position(mark("Question", 1), "_after")).otherwise(0))
+    said = F.when(F.col("_next") > 0, F.substring("_after", F.lit(1), F.col("_next") - 1)).otherwise(F.col("_after"))
+    rest = rest.withColumn("correct_answer", strip(said)).withColumn("_lines", F.transform(F.split(strip(F.substring("_rest", F.lit(1), F.col("_answer") - 1)), "\n", -1), strip))
+    marked = F.filter(F.slice("_lines", 2, 1_000_000), lambda o: F.rlike(o, F.lit(r"^[ABCD]\)")))
+    options = F.transform(marked, lambda o: F.struct(F.substring(o, 1, 1).alias("letter"), strip(F.substring(o, 3, 1_000_000_000)).alias("text")))
+    found = rest.select(key, "pos", F.element_at("_lines", 1).alias("question"), options.alias("options"), "correct_answer")
+    return found.filter((F.size("options") > 0) & (F.col("correct_answer") != ""))
 
 
 def generated_answers(text: Column) -> Column:

@@ -15,29 +15,23 @@ def bounding_box(places: Column) -> Column:
     return F.when(F.size(places) > 0, box)
 
 
-def best_centre(places: Column, lat: Column, lon: Column, half: float = HALF) -> Column:
-    """STRUCT<n, lat, lon>: the candidate whose square holds the most points and the given point too.
+def best_centres(rows: DataFrame, key: str, places: str, lat: str, lon: str, half: float = HALF) -> DataFrame:
+    """Of each row the candidate whose square holds the most points and the given point too: key, n, lat, lon.
 
     Candidates are all latitudes with all longitudes of the points, the given one last; of equal counts the first in that
-    order wins. Null without places or without the given point. All is done within the row, whose places are few.
+    order wins. Rows without places or without the given point are left out. A row is expanded to its candidate latitudes and
+    put together again without leaving its partition's sort: its places are few.
     """
-    lats = F.concat(F.transform(places, lambda p: p["lat"]), F.array(lat))
-    lons = F.concat(F.transform(places, lambda p: p["lon"]), F.array(lon))
-    points = F.arrays_zip(lats.alias("y"), lons.alias("x"))
-
-    def candidates(y: Column, i: Column) -> Column:
-        near = F.filter(points, lambda p: F.abs(p["y"] - y) <= half)
-
-        def one(x: Column, j: Column) -> Column:
-            n = F.size(F.filter(near, lambda p: F.abs(p["x"] - x) <= half))
-            holds = (y - half <= lat) & (lat <= y + half) & (x - half <= lon) & (lon <= x + half)
-            return F.struct((-F.when(holds, n).otherwise(0)).alias("less"), i.alias("i"), j.alias("j"), y.alias("lat"), x.alias("lon"))
-
-        return F.array_min(F.transform(lons, one))
-
-    best = F.array_min(F.transform(lats, candidates))
-    fits = (F.size(places) > 0) & lat.isNotNull() & lon.isNotNull() & (best["less"] < 0)
-    return F.when(fits, F.struct((-best["less"]).alias("n"), best["lat"].alias("lat"), best["lon"].alias("lon")))
+    known = rows.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull() & (F.size(places) > 0))
+    points = F.concat(F.transform(places, lambda p: F.struct(p["lat"].alias("y"), p["lon"].alias("x"))), F.array(F.struct(F.col(lat).alias("y"), F.col(lon).alias("x"))))
+    each = known.select(key, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), points.alias("_p")).select(key, "_lat", "_lon", "_p", F.posexplode("_p").alias("_i", "_c"))
+    each = each.filter((F.col("_c.y") - half <= F.col("_lat")) & (F.col("_lat") <= F.col("_c.y") + half))
+    near = F.filter("_p", lambda p: F.abs(p["y"] - F.col("_c.y")) <= half)
+    each = each.select(key, "_lon", F.col("_c.y").alias("lat"), "_i", F.transform(near, lambda p: p["x"]).alias("_near"), F.posexplode(F.transform("_p", lambda p: p["x"])).alias("_j", "lon"))
+    each = each.filter((F.col("lon") - half <= F.col("_lon")) & (F.col("_lon") <= F.col("lon") + half))
+    counted = each.withColumn("n", F.size(F.filter("_near", lambda x: F.abs(x - F.col("lon")) <= half)))
+    best = counted.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("less"), "_i", "_j", "lat", "lon")).alias("b"))
+    return best.select(key, (-F.col("b.less")).alias("n"), "b.lat", "b.lon")
 
 
 def window_of(begin: Column, end: Column, days: int = DAYS) -> Column:

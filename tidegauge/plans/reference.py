@@ -340,7 +340,7 @@ select line_no, n, lat, lon from (select *, row_number() over (partition by line
 def best_image_centre(spark: SparkSession, folder: str) -> DataFrame:
     declared = _declared(spark, folder).select("idx", F.col("lat").alias("flat"), F.col("lon").alias("flon"))
     rows = _places(spark, folder).withColumn("idx", _whole_number("id")).join(declared, "idx")
-    return rows.select("line_no", places.best_centre(F.col("places"), F.col("flat"), F.col("flon")).alias("c")).filter("c is not null").select("line_no", "c.*")
+    return places.best_centres(rows, "line_no", "places", "flat", "flon")
 
 
 @query(f"with {_DE} select idx, lon - 0.05::double as min_lon, lat - 0.05::double as min_lat, lon + 0.05::double as max_lon, lat + 0.05::double as max_lat from de where lat is not null and lon is not null")
@@ -603,12 +603,9 @@ def _choices_sql() -> str:
 
 @query(f"with {_RESPONSES} {_choices_sql()}")
 def llm_mcq_parse(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _responses(spark, folder).withColumn("found", parsing.generated_choices(F.col("t")))
-    one = rows.select("id", F.explode("found").alias("q"))
-    return one.select(
-        "id", F.col("q.pos").alias("pos"), "q.question", F.size("q.options").alias("n_options"),
-        F.array_join(F.transform("q.options", lambda o: F.concat(o["letter"], F.lit(") "), o["text"])), "|").alias("options"), "q.correct_answer",
-    )
+    found = parsing.generated_choices(_responses(spark, folder), "id", "t")
+    shown = F.array_join(F.transform("options", lambda o: F.concat(o["letter"], F.lit(") "), o["text"])), "|")
+    return found.select("id", "pos", "question", F.size("options").alias("n_options"), shown.alias("options"), "correct_answer")
 
 
 _QA_RESPONSE = "'**Question 1:** ' || q || '**Answer 1:** ' || a || chr(10) || '**Question 2:** ' || a || '**Answer 2:** ' || q || case when id % 3 = 0 then '' else '**Question 3:** ' || q || ' **Answer 3:** ' || a end"
