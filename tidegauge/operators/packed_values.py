@@ -13,6 +13,7 @@ field gets the entries that can occur in it by a join on their first piece, and
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -38,7 +39,7 @@ def unwrap(text: str) -> str:
     """The field without brackets that enclose all of it, however deep."""
     text = text.strip()
     while text and text[0] in _WRAP and text[-1] == _WRAP[text[0]]:
-        depth, quote = 0, ""
+        depth = 0
         for k, c in enumerate(text):
             if c == text[0]:
                 depth += 1
@@ -79,15 +80,14 @@ def automaton(known: list[str]):
 def _quoted(text: str) -> list[tuple[int, int]]:
     """Spans of quoted values; a quote opens only where a value may begin."""
     spans, at = [], 0
+    closing = {c: [m.start() for m in re.finditer(c, text) if _AFTER_QUOTE.match(text, m.end())] for c in "\"'"}
     while at < len(text):
         c = text[at]
-        if c in "\"'":
-            end = text.find(c, at + 1)
-            while end >= 0 and not _AFTER_QUOTE.match(text, end + 1):
-                end = text.find(c, end + 1)
-            if end > 0:
-                spans.append((at, end + 1))
-                at = end + 1
+        if c in closing:
+            k = bisect_right(closing[c], at)
+            if k < len(closing[c]):
+                spans.append((at, closing[c][k] + 1))
+                at = closing[c][k] + 1
         # On to where the next value may begin; coordinates are passed over whole.
         while at < len(text) and text[at] not in _DELIMITERS:
             pair = _COORDS.match(text, at) if text[at] in ":( " else None
@@ -115,10 +115,18 @@ def segments(text: str | None, known) -> list[tuple[str, bool]]:
     if known is not None:
         for last, value in known.iter(text):
             a, b = last - len(value) + 1, last + 1
-            left = text[:a].rstrip(" ")[-1:]
-            right = _COORDS.match(text, b) or text[b:].lstrip(" ")[:1] in ("", *_DELIMITERS)
-            if not inside[a] and (not left or left in _DELIMITERS) and right and any(delimiter[a:b]):
+            before, after = a - 1, b
+            while before >= 0 and text[before] == " ":
+                before -= 1
+            while after < n and text[after] == " ":
+                after += 1
+            left = before < 0 or text[before] in _DELIMITERS
+            right = after >= n or text[after] in _DELIMITERS or _COORDS.match(text, b)
+            if not inside[a] and left and right and any(delimiter[a:b]):
                 jumps.setdefault(a, []).append((b, 0))
+    following = [n] * (n + 1)  # the next delimiter at or after each position
+    for k in range(n - 1, -1, -1):
+        following[k] = k if delimiter[k] else following[k + 1]
     # cost[k]: fewest pieces that cover the text up to k; a piece runs on to the next delimiter.
     none = (n + 1, 0)
     cost, back = [none] * (n + 1), [0] * (n + 1)
@@ -132,14 +140,9 @@ def segments(text: str | None, known) -> list[tuple[str, bool]]:
                 cost[k + 1], back[k + 1] = here, k
             continue
         ends = list(jumps.get(k, ()))
-        plain = k
-        while plain < n and not delimiter[plain]:
-            plain += 1
-        ends.append((plain, 1))
+        ends.append((following[k], 1))
         for end, extra in ends:
-            stop = end
-            while stop < n and not delimiter[stop]:  # coordinates and blanks after a known value
-                stop += 1
+            stop = following[end]  # coordinates and blanks after a known value
             new = (here[0] + 1, here[1] + extra)
             if new < cost[stop]:
                 cost[stop], back[stop] = new, k
@@ -204,7 +207,7 @@ def split_names(rows: DataFrame, sent_values: int = BROADCAST_ROWS) -> DataFrame
     Null fields give no row, empty fields and values no item. The dictionary is learnt from the same fields; with up to
     ``sent_values`` entries it is sent to all tasks, beyond that the entries are joined to the distinct fields.
     """
-    rows = rows.select(F.col("id").cast("long").alias("id"), "field").filter("field is not null")
+    rows = rows.select(F.col("id").cast("long").alias("id"), "field").filter("id is not null and field is not null")
     known = learn_values(rows)
     if known.limit(sent_values + 1).count() <= sent_values:
         sent = rows.sparkSession.sparkContext.broadcast(sorted(r[0] for r in known.select("value").toLocalIterator()))
@@ -225,10 +228,10 @@ def split_packed(rows: DataFrame, key: str, names: str, statements: str, least:
     """One row per value of the two packed columns of ``rows``: key, field_name, pos, item; of fields with at least ``least`` values.
 
     The item is the bare name, coordinates left out, or the date of the statement. Positions count from 0 in written order.
-    Repeated rows count for themselves. Null, empty and blank fields, fields without a value and an empty table give no rows;
+    Repeated rows count for themselves. Rows without a key and null, empty and blank fields, fields without a value and an empty table give no rows;
     other columns are ignored.
     """
     places = split_names(rows.select(F.col(key).alias("id"), F.col(names).alias("field")))
-    dated = rows.select(F.col(key).cast("long").alias("id"), F.col(statements).alias("field")).filter("field is not null").mapInPandas(_dates, "id long, items array<string>")
+    dated = rows.select(F.col(key).cast("long").alias("id"), F.col(statements).alias("field")).filter("id is not null and field is not null").mapInPandas(_dates, "id long, items array<string>")
     both = places.withColumn("field_name", F.lit(names)).unionByName(dated.withColumn("field_name", F.lit(statements)))
     return both.filter(F.size("items") >= least).select(F.col("id").alias(key), "field_name", F.posexplode("items").alias("pos", "item"))

@@ -216,10 +216,10 @@ def _load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def load_rows(lines: DataFrame) -> DataFrame:
     """The conforming lines of ``lines`` (line_no, raw_line), parsed; see LOADED.
 
-    Null and empty lines do not conform; repeated lines load each under its own line_no; an id stays text, for it may have any
+    Lines without a number are left out; null and empty lines do not conform; repeated lines load each under its own line_no; an id stays text, for it may have any
     number of digits. Other columns are ignored.
     """
-    return lines.select("line_no", "raw_line").mapInPandas(_load, LOADED)
+    return lines.select(F.col("line_no").cast("long").alias("line_no"), "raw_line").filter("line_no is not null").mapInPandas(_load, LOADED)
 
 
 def _diagnose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,6 +239,6 @@ def failed_rows(lines: DataFrame) -> DataFrame:
 
     line_no must be unique. An empty table gives an empty result; null and empty lines lack their columns.
     """
-    raw = lines.select("line_no", "raw_line")
+    raw = lines.select(F.col("line_no").cast("long").alias("line_no"), "raw_line").filter("line_no is not null")
     left = raw.join(load_rows(raw).select("line_no"), "line_no", "left_anti")
     return left.mapInPandas(_diagnose, "line_no long, reason string")
