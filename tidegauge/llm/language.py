@@ -257,13 +257,13 @@ def language_segments(documents: DataFrame, model: np.ndarray | None = None) ->
     """Each document's segments, that is longest runs of lines in one language, with a confidence.
 
     ``documents`` has id (integer), text, lang. Returns doc_id, seg_no (from 0), language, confidence, lines, segments (of the document)
-    and label (the language that lang names, or null). Null texts and texts without a letter give no row; a document in one
+    and label (the language that lang names, or null). Rows without an id, null texts and texts without a letter give no row; a document in one
     language has segment 0 only; other columns are ignored. Without ``model`` it is fitted on the same documents.
     """
     if model is None:
         model = fit(documents)
     sent = documents.sparkSession.sparkContext.broadcast(model)
-    return documents.select(F.col("id").cast("long").alias("id"), "text", "lang").mapInPandas(_assign(sent), _OUT)
+    return documents.select(F.col("id").cast("long").alias("id"), "text", "lang").filter("id is not null").mapInPandas(_assign(sent), _OUT)
 
 
 def relabelled(found: DataFrame) -> DataFrame:

@@ -99,12 +99,12 @@ def _search(shared):
 def leaked_passages(corpus: DataFrame, passages: DataFrame, span: int = 12, table_words: int = TABLE_WORDS) -> DataFrame:
     """Each document with each passage of which it holds at least ``span`` consecutive words: doc_id, item_id.
 
-    ``corpus`` and ``passages`` have id (integer) and text. Null, empty and short texts match nothing; a passage of fewer than ``span`` words
+    ``corpus`` and ``passages`` have id (integer) and text. Rows without an id and null, empty and short texts match nothing; a passage of fewer than ``span`` words
     matches nowhere; documents that repeat under another id match each; passages that share words match each; either table may
     be empty. Other columns are ignored.
     """
     spark = corpus.sparkSession
-    docs = corpus.select(F.col("id").cast("long").alias("id"), "text").filter("text is not null")
+    docs = corpus.select(F.col("id").cast("long").alias("id"), "text").filter("id is not null and text is not null")
     result, block, held = None, [], 0
 
     def add(result, block):

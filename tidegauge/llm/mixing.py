@@ -89,7 +89,8 @@ def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> Da
     default the largest that lets every source that has tokens reach its share. Sources without a target get nothing; a source
     whose cap is too low for ``total`` gives all that it may.
     """
-    per = sizes.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("available"))
+    targets = targets.select("source", "target_share", "max_repeats").filter("source is not null")
+    per = sizes.select("source", "tokens").groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("available"))
     held = targets.join(per, "source", "left").select("source", "target_share", F.greatest("max_repeats", F.lit(0)).alias("max_repeats"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("available", F.lit(0)).alias("available"))
     if total is None:
         reach = F.when((F.col("target_share") > 0) & (F.col("available") > 0), F.col("available") * F.col("max_repeats") / F.col("target_share"))
@@ -109,6 +110,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed:
     See plan() for the arguments; ids must be unique. Null sources, sources without a target and an empty table give nothing;
     documents of no tokens take part in the draw of documents. The same seed gives the same mix whatever the partitions.
     """
+    sizes = sizes.select("id", "source", "tokens")
     what = plan(sizes, targets, total).filter("documents > 0")
     what = what.select("source", "documents", "whole", "part")
     if targets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -125,6 +127,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed:
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """The shares reached: source, target_share, max_repeats, documents, most (repeats of one document), tokens, share."""
+    targets = targets.select("source", "target_share", "max_repeats").filter("source is not null")
     per = mixed.groupBy("source").agg(F.count("*").alias("documents"), F.max("repeats").alias("most"), F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"))
     per = targets.join(per, "source", "left").select("source", "target_share", "max_repeats", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "most", "tokens")))
     return per.withColumn("total", F.sum("tokens").over(Window.partitionBy(F.lit(0)))).select("source", "target_share", "max_repeats", "documents", "most", "tokens", F.round(F.try_divide("tokens", "total"), 6).alias("share"))

@@ -173,12 +173,11 @@ def cross_split_overlap(left: DataFrame, right: DataFrame, similarity: float = 0
 
     Both need the columns id (integer, unique) and text; others are left alone. Returns left_id, right_id, common
     (number of words in common), similarity (common over the words in either) and cosine (the exact dot
-    product). Null, empty and wordless texts pair with nothing; repeated texts pair each for itself; an
+    product). Rows without an id and null, empty and wordless texts pair with nothing; repeated texts pair each for itself; an
     empty split gives an empty result.
     """
     spark = left.sparkSession
-    one = left.select(F.col("id").cast("long").alias("id"), "text")
-    two = right.select(F.col("id").cast("long").alias("id"), "text")
+    one, two = (df.select(F.col("id").cast("long").alias("id"), "text").filter("id is not null") for df in (left, right))
     both = one.withColumn("side", F.lit(0)).unionByName(two.withColumn("side", F.lit(1)))
     survey = cut(both.mapInPandas(_survey, "side int, id long, h1 long, h2 long"))
 
@@ -228,4 +227,5 @@ def overlap_counts(pairs: DataFrame, right: DataFrame, groups: list[str]) -> Dat
     ``groups`` names columns of ``right``; null is a group of its own.
     """
     per = pairs.groupBy("right_id").agg(F.count("*").alias("pairs"))
-    return right.join(per, right["id"] == per["right_id"]).groupBy(*groups).agg(F.count("*").alias("records"), F.sum("pairs").alias("pairs"))
+    kept = right.select("id", *groups)
+    return kept.join(per, kept["id"] == per["right_id"]).groupBy(*groups).agg(F.count("*").alias("records"), F.sum("pairs").alias("pairs"))

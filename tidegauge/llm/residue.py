@@ -183,10 +183,10 @@ def _judge(shared, threshold: float):
 def judge(passages: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """Each passage of ``passages`` (id: integer, pos: integer, text) with probability, trusted and residue (probability at least ``threshold``).
 
-    Null and empty texts get the prior. Repeated rows are judged each; other columns are dropped; an empty table gives an empty result.
+    Rows without id or pos are left out; null and empty texts get the prior. Repeated rows are judged each; other columns are dropped; an empty table gives an empty result.
     """
     sent = passages.sparkSession.sparkContext.broadcast(model)
-    rows = passages.select(F.col("id").cast("long").alias("id"), F.col("pos").cast("int").alias("pos"), "text")
+    rows = passages.select(F.col("id").cast("long").alias("id"), F.col("pos").cast("int").alias("pos"), "text").filter("id is not null and pos is not null")
     return rows.mapInPandas(_judge(sent, threshold), "id long, pos int, probability double, trusted boolean, residue boolean")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+_WORDS = r"regexp_extract_all(lower(nfc_normalize({})), '[\p{{L}}\p{{N}}]+')"
 _TEXT = "array_to_string(list_transform(conversations, lambda t: t.value_text), chr(10))"
 
 _PAIRS = rf"""with a as (select id, list_distinct({_WORDS.format(_TEXT)}) as w from train_total), b as (select id, list_distinct({_WORDS.format(_TEXT)}) as w from test_total),

@@ -17,6 +17,6 @@ def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def statements(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """id, pos (from 0 in written order), date and text of each statement; null and empty fields have none."""
-    fields = rows.select(F.col(key).cast("long").alias("id"), F.col(column).alias("field")).filter("field is not null")
+    """id, pos (from 0 in written order), date and text of each statement; rows without a key, null and empty fields have none."""
+    fields = rows.select(F.col(key).cast("long").alias("id"), F.col(column).alias("field")).filter("id is not null and field is not null")
     return fields.mapInPandas(_spans, "id long, pos int, date string, text string")

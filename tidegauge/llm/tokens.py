@@ -49,6 +49,6 @@ def _counts(folder: str, ranks: str):
 
 
 def token_counts(documents: DataFrame, folder: str = FOLDER, ranks: str = RANKS) -> DataFrame:
-    """``documents`` (id, source, text) with the number of tokens instead of the text; null texts have none."""
-    rows = documents.select(F.col("id").cast("long").alias("id"), "source", "text")
+    """``documents`` (id, source, text) with the number of tokens instead of the text; null texts have none; rows without an id are left out."""
+    rows = documents.select(F.col("id").cast("long").alias("id"), "source", "text").filter("id is not null")
     return rows.mapInPandas(_counts(folder, ranks), "id long, source string, tokens long")
