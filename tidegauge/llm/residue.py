@@ -87,6 +87,8 @@ def features(text: str | None) -> list[str]:
         else:
             words.append(t.lower())
     plain = [w for w in words if w[0] == "_" or w[0].isalpha()]
+    if not plain:
+        return []
     found = dict.fromkeys(plain)
     found.update(dict.fromkeys(f"{a} {b}" for a, b in zip(plain, plain[1:])))
     if "_name" not in found:
