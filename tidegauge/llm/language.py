@@ -41,8 +41,8 @@ FREQUENT = {
 
 #: Documents with a language's label on which that language is trained, at most.
 TRAINING_DOCUMENTS = 300
-#: What a further language must gain in log likelihood, and what a change of language costs.
-PENALTY, CHANGE = 12.0, 8.0
+#: What a further language must gain in log likelihood, and what a change of language costs. Trigrams overlap, so each counts for a third.
+PENALTY, CHANGE, OVERLAP = 6.0, 3.0, 3.0
 _SLOTS = 1 << 16
 _CHUNK = 400_000
 _LINE_END = re.compile(r"\r\n|[\r\n\x85  ]")
@@ -202,15 +202,15 @@ def _path(ll: np.ndarray, chosen: list[int]) -> list[int]:
 
 
 def _confidence(total: np.ndarray, k: int) -> float:
-    """Probability of language k; overlapping trigrams count for a third each."""
-    z = np.exp((total - total.max()) / 3)
+    """Probability of language k."""
+    z = np.exp(total - total.max())
     return float(z[k] / z.sum())
 
 
 def segments(texts: list[str | None], model: np.ndarray) -> list[list[tuple[str, float, int]]]:
     """For each text its segments in order: language, confidence, number of lines. Texts without a letter have none."""
     split = [_lines(t) if t else [] for t in texts]
-    ll = _likelihoods([line for own in split for line in own], model) if any(split) else np.zeros((0, model.shape[1]))
+    ll = _likelihoods([line for own in split for line in own], model) / OVERLAP if any(split) else np.zeros((0, model.shape[1]))
     found: list[list[tuple[str, float, int]]] = []
     at = 0
     for own in split:
