@@ -24,7 +24,7 @@ def test_buckets(spark):
 
 
 SAMPLE = {
-    0: [("2022-07-13", "No events")] + [("2022-07-18", "The 1148 Fire near Possum Kingdom Lake started."), ("2022-07-18", "A mandatory evacuation order was issued.")] + [("2022-07-23", "No events")] * 2,
+    0: [("2022-07-13", "No events")] + [("2022-07-18", "The lake fire started."), ("2022-07-18", "An evacuation order was issued.")] + [("2022-07-23", "No events")] * 2,
     2: [("2022-07-13", "w"), ("2022-07-18", "x"), ("2022-07-23", "y"), ("2022-07-28", "z"), ("2022-08-02", "Information on it is not provided")],
     4: [("2022-05-01", "No event from the provided article is associated")] * 4,
 }

@@ -21,7 +21,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.geo import EARTH_KM
-from ..session import slots
 
 #: A block is cut into parts so that none owns more points than about this.
 BLOCK_POINTS = 20_000
@@ -123,7 +122,7 @@ def near_pairs(points: DataFrame, km: float) -> DataFrame:
     spots = spots.withColumn("owner", (F.pmod(F.xxhash64("lat", "px"), F.col("parts")) == F.col("part")).cast("int"))
     swept = (
         spots.select("strip", "block", "part", "x", "px", "lat", "reach", "mine", "owner")
-        .repartition(slots(points.sparkSession), "strip", "block", "part")
+        .repartition("strip", "block", "part")
         .sortWithinPartitions("strip", "block", "part", "x", "lat")
         .mapInPandas(_sweep(km), "a_lat double, a_x double, b_lat double, b_x double")
     )
@@ -146,14 +145,20 @@ def _corners(regions: DataFrame) -> DataFrame:
 
 
 def _inside(edges):
-    """Points of batches against all regions: an odd number of edges lies to the east of a point that is inside."""
+    """Points of batches against all regions: an odd number of edges lies to the east of a point that is inside.
+
+    A place that many points of a batch share is tested once.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = edges.value
         regions, begins = np.unique(e["region"], return_index=True)
         ends = np.append(begins[1:], len(e["region"]))
         for batch in batches:
-            lat, lon = batch["lat"].to_numpy(), batch["lon"].to_numpy()
+            ident = batch["point_id"].to_numpy()
+            places, place = np.unique(batch[["lat", "lon"]].to_numpy(), axis=0, return_inverse=True)
+            place = place.reshape(-1)
+            lat, lon = places[:, 0], places[:, 1]
             for r, b, t in zip(regions, begins, ends):
                 la, lo, lb, lp = (e[c][b:t] for c in ("lat1", "lon1", "lat2", "lon2"))
                 near = np.nonzero((lat >= min(la.min(), lb.min())) & (lat <= max(la.max(), lb.max())))[0]
@@ -166,9 +171,11 @@ def _inside(edges):
                 found = np.zeros(len(near), bool)
                 for turn in (-360.0, 0.0, 360.0):
                     found |= (cross & (lon[near, None] + turn < at)).sum(axis=1) % 2 == 1
-                hit = near[found]
-                if len(hit):
-                    yield pd.DataFrame({"lat": lat[hit], "lon": lon[hit], "region": np.full(len(hit), r)})
+                hit = np.zeros(len(places), bool)
+                hit[near[found]] = True
+                inside = ident[hit[place]]
+                if len(inside):
+                    yield pd.DataFrame({"point_id": inside, "region_id": np.full(len(inside), r)})
 
     return run
 
@@ -177,27 +184,26 @@ def containing_regions(points: DataFrame, regions: DataFrame, sent_corners: int
     """Each point with each region whose ring holds it: point_id, region_id.
 
     ``points`` has id, lat, lon; ``regions`` has id, ring (corners [lat, lon]; either direction; closed or not; longitudes may
-    run beyond 180). Edges are straight in degrees; a point on an edge counts as inside for one of the two sides only. Points
-    with a null, rings of fewer than three corners and corners with a null are left out. Repeated ids count each. Each distinct
-    place is tested once. Up to ``sent_corners`` corners are sent to all tasks, beyond that the join by strips is used.
+    run beyond 180) and unique ids. Edges are straight in degrees; a point on an edge counts as inside for one of the two sides
+    only. Points with a null, rings of fewer than three corners and corners with a null are left out. Repeated points count each.
+    Up to ``sent_corners`` corners are sent to all tasks, which then need no shuffle; beyond that the join by strips is used.
     """
     spark = points.sparkSession
     asked = points.select(F.col("id").cast("long").alias("point_id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
     asked = asked.filter("point_id is not null and lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
-    places = asked.select("lat", "lon").distinct()
     edges = _corners(regions)
     if edges.limit(sent_corners + 1).count() <= sent_corners:
         pdf = edges.orderBy("region").toPandas()
         if pdf.empty:
             return asked.filter("false").select("point_id", F.lit(0).cast("long").alias("region_id"))
         sent = spark.sparkContext.broadcast({c: pdf[c].to_numpy() for c in pdf.columns})
-        held = places.mapInPandas(_inside(sent), "lat double, lon double, region long")
-    else:
-        low, up = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
-        strips = edges.withColumn("strip", F.explode(F.sequence(F.floor(low / _STRIP_DEGREES), F.floor(up / _STRIP_DEGREES))))
-        cast = places.withColumn("strip", F.floor(F.col("lat") / _STRIP_DEGREES))
-        at = F.col("lon1") + (F.col("lat") - F.col("lat1")) / (F.col("lat2") - F.col("lat1")) * (F.col("lon2") - F.col("lon1"))
-        met = cast.join(strips, "strip").filter((F.col("lat1") > F.col("lat")) != (F.col("lat2") > F.col("lat")))
-        odd = [F.pmod(F.sum((F.col("lon") + turn < at).cast("int")), F.lit(2)) == 1 for turn in (-360, 0, 360)]
-        held = met.groupBy("lat", "lon", "region").agg((odd[0] | odd[1] | odd[2]).alias("in")).filter("in").drop("in")
+        return asked.mapInPandas(_inside(sent), "point_id long, region_id long")
+    places = asked.select("lat", "lon").distinct()
+    low, up = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
+    strips = edges.withColumn("strip", F.explode(F.sequence(F.floor(low / _STRIP_DEGREES), F.floor(up / _STRIP_DEGREES))))
+    cast = places.withColumn("strip", F.floor(F.col("lat") / _STRIP_DEGREES))
+    at = F.col("lon1") + (F.col("lat") - F.col("lat1")) / (F.col("lat2") - F.col("lat1")) * (F.col("lon2") - F.col("lon1"))
+    met = cast.join(strips, "strip").filter((F.col("lat1") > F.col("lat")) != (F.col("lat2") > F.col("lat")))
+    odd = [F.pmod(F.sum((F.col("lon") + turn < at).cast("int")), F.lit(2)) == 1 for turn in (-360, 0, 360)]
+    held = met.groupBy("lat", "lon", "region").agg((odd[0] | odd[1] | odd[2]).alias("in")).filter("in").drop("in")
     return asked.join(held, ["lat", "lon"]).select("point_id", F.col("region").alias("region_id"))
