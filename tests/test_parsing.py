@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.fixed import NO_EVENT_GENERATED, NO_EVENT_TEMPLATED
 from tidegauge.functions.geo import to_pixel
-from tidegauge.operators import parsing
+from tidegauge.operators import links, parsing
 
 
 def one(spark, column, value, kind="string"):
@@ -26,6 +26,18 @@ def test_event_list_takes_ranges_for_events(spark):
     assert len(one(spark, lambda c: parsing.event_list(c, NO_EVENT_GENERATED), filler)) == 1  # the other phrases let it pass
 
 
+def test_numbered_texts(spark):
+    df = spark.createDataFrame([([(0, "d", "a"), (3, "d", "b")],), ([],)], "e array<struct<pos:int,date:string,event:string>>")
+    assert [r[0] for r in df.select(parsing.numbered_texts(F.col("e"))).collect()] == [{0: "a", 1: "b"}, {}]
+
+
+def test_links(spark):
+    df = spark.createDataFrame([("http://a.gov/x",), ("http://b/x",), (None,)], "url string")
+    assert [r["url"] for r in links.kept_links(df).collect()] == ["http://b/x"] and links.kept_links(df, strict=False).count() == 2
+    df = spark.createDataFrame([("a", None, 3)], "x string, y string, z int")
+    assert df.select(links.search_text("x", "y", "z")).first()[0] == "a nan 3"
+
+
 def test_place_map(spark):
     text = "7,u,(1, 2),{' \"Alder  Creek\"': (1.5, -2.0), 'Route 9: X': (1, 2), 'B/C': (3, 4), 'bad': (x, 1), 'B/C': (5, 6)},[z]"
     got = [(r["name"], r["lat"], r["lon"]) for r in one(spark, parsing.place_map, text)]

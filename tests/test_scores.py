@@ -34,6 +34,9 @@ def test_contingency(spark):
     data = [("x", "1", True), ("x", "2", False), ("x", "3", True), ("y", "1", False), ("y", "2", True), ("y", "3", True), ("z", "9", True)]
     df = spark.createDataFrame(data, "model_name string, qid string, correct boolean")
     assert [tuple(r) for r in scores.contingency(df).collect()] == [("x", "y", 3, 1, 1)]
+    moved = df.withColumn("qid", F.when(F.col("model_name") == "y", F.concat(F.lit("q"), "qid")).otherwise(F.col("qid")))
+    got = {(r["model_1"], r["model_2"]): (r["n"], r["b"], r["c"]) for r in scores.contingency(moved, by="position", order="qid").collect()}
+    assert got["x", "y"] == (3, 1, 1) and got["x", "z"] == (1, 0, 0)
 
 
 def test_known_values():

@@ -44,6 +44,11 @@ def event_list(text: Column, phrases) -> Column:
     return F.filter(read, lambda e: ~contains_any(e["event"], phrases))
 
 
+def numbered_texts(events: Column) -> Column:
+    """MAP<number, text>: the texts of ARRAY<STRUCT<..., event>> by their number, without their dates."""
+    return F.map_from_entries(F.transform(events, lambda e, i: F.struct(i.alias("n"), e["event"].alias("text"))))
+
+
 def place_map(text: Column, keep=None) -> Column:
     """ARRAY<STRUCT<pos, name, lat, lon>> of a "{'name': (lat, lon), ...}" text.
 

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .ordered import with_ordinal
+
 
 def correct_choice(predicted: Column, truth: Column) -> Column:
     """Whether the first characters agree, case aside; an empty or null prediction counts as "F", an empty truth is null."""
@@ -23,11 +25,16 @@ def accuracy(answers: DataFrame, *groups: str) -> DataFrame:
     return known.groupBy(*groups).agg(F.count("*").alias("questions"), F.count_if("correct").alias("right")).withColumn("accuracy", F.try_divide(F.col("right") * 100.0, "questions"))
 
 
-def contingency(answers: DataFrame, model: str = "model_name", question: str = "qid") -> DataFrame:
+def contingency(answers: DataFrame, model: str = "model_name", question: str = "qid", by: str = "question", order: str | None = None) -> DataFrame:
     """All pairs of models on the questions that both answered: model_1 < model_2, n, b (only the first is right), c (only the second is).
 
     Questions that a model answered more than once must have been made unique. Models are few, so the pairs of a question are.
+    With ``by="position"`` the answers of the models are paired by their place in ``order`` (a total order) instead of the question.
     """
+    if by == "position":
+        numbered = with_ordinal(answers, model, order)
+        first = numbered.groupBy(model).agg(F.min("ordinal").alias("_first"))
+        answers, question = numbered.join(first, model).withColumn("_place", F.col("ordinal") - F.col("_first")), "_place"
     a = answers.select(F.col(question), F.col(model).alias("model_1"), F.col("correct").alias("x"))
     b = answers.select(F.col(question), F.col(model).alias("model_2"), F.col("correct").alias("y"))
     met = a.join(b, question).filter("model_1 < model_2")

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import fixed, geo
-from ..functions.text import contains_any, one_line
-from ..operators import events, ordered, parsing, places, questions, records, scores
+from ..functions.text import one_line
+from ..operators import events, links, ordered, parsing, places, questions, records, scores
 from ..sources.tables import table
 from .registry import QUERIES, SQL
 
@@ -100,7 +100,7 @@ def _places(spark: SparkSession, folder: str) -> DataFrame:
 def search_query_projection(spark: SparkSession, folder: str) -> DataFrame:
     """The search text of each declaration; nulls are written as nan."""
     parts = ("declaration_title", "incident_type", "designated_area", "state", "incident_begin_date")
-    return table(spark, folder, "declarations", "idx", *parts).select("idx", F.concat_ws(" ", *(F.coalesce(c, F.lit("nan")) for c in parts)).alias("query"))
+    return table(spark, folder, "declarations", "idx", *parts).select("idx", links.search_text(*parts).alias("query"))
 
 
 @query("select event_id, url, rank from (select event_id, url, row_number() over (partition by event_id order by min(found_at), url) as rank from articles where url is not null group by event_id, url) where rank <= 5")
@@ -112,8 +112,8 @@ def top5_links_per_event(spark: SparkSession, folder: str) -> DataFrame:
 @query("select event_id, string_agg(url, chr(10) order by rank) as links, count(*) as n from (select event_id, url, row_number() over (partition by event_id order by min(found_at), url) as rank from articles where url is not null group by event_id, url) where rank <= 5 group by event_id")
 def links_per_event(spark: SparkSession, folder: str) -> DataFrame:
     """The links of each event as one list, in the order in which they were found, as many as a search gives."""
-    links = F.array_sort(F.collect_list(F.struct("rank", "url")))
-    return top5_links_per_event(spark, folder).groupBy("event_id").agg(F.array_join(F.transform(links, lambda x: x["url"]), "\n").alias("links"), F.count("*").alias("n"))
+    found = F.array_sort(F.collect_list(F.struct("rank", "url")))
+    return top5_links_per_event(spark, folder).groupBy("event_id").agg(F.array_join(F.transform(found, lambda x: x["url"]), "\n").alias("links"), F.count("*").alias("n"))
 
 
 @query("select try_cast(split_part(line, ',', 1) as int) as event_id, split_part(line, ',', 2) as url from (select event_id || ',' || url || ',' as line from articles where url is not null)")
@@ -126,15 +126,15 @@ def link_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"select event_id, url from articles where url is not null and not {_holds('url', UNWANTED)}")
 def url_blacklist_filter(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "articles", "event_id", "url").filter(F.col("url").isNotNull() & ~contains_any(F.col("url"), UNWANTED))
+    return links.kept_links(table(spark, folder, "articles", "event_id", "url"), unwanted=UNWANTED)
 
 
 @query(f"with {_IM} select distinct event_id, url from articles where url is not null and event_id not in (select folder_id from imd group by folder_id having count(*) >= 5)")
 def skip_processed_antijoin(spark: SparkSession, folder: str) -> DataFrame:
     """Links of events that are not done yet, done being those with five image dates."""
     done = events.image_dates(_files(spark, folder)).filter(F.size("dates") >= 5)
-    links = table(spark, folder, "articles", "event_id", "url").filter("url is not null and event_id is not null").distinct()
-    return links.join(done, links["event_id"] == done["event"], "left_anti")
+    open_ = table(spark, folder, "articles", "event_id", "url").filter("url is not null and event_id is not null").distinct()
+    return open_.join(done, open_["event_id"] == done["event"], "left_anti")
 
 
 @query("select event_id, string_agg(text || chr(10), '' order by rn) as article, count(*) as n from (select event_id, text, row_number() over (partition by event_id order by crawled_at, doc_id) rn from documents where event_id is not null and text is not null) where rn <= 5 group by event_id")
@@ -321,6 +321,12 @@ def event_begin_date(spark: SparkSession, folder: str) -> DataFrame:
     return _events(spark, folder).filter(F.size("events") > 0).select("row_id", events.begin_date(F.col("events")).alias("begin_date"))
 
 
+@query(f"with {_EV} select row_id, (row_number() over (partition by row_id order by pos) - 1)::int as n, event as text from ev")
+def event_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Events without their dates, by their number in the row."""
+    return _events(spark, folder).select("row_id", F.explode(parsing.numbered_texts(F.col("events"))).alias("n", "text"))
+
+
 # --- places -----------------------------------------------------------------------------------------------------------
 
 
@@ -622,6 +628,27 @@ def llm_qa_parse(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("id", F.explode(parsing.generated_answers(F.col("t"))).alias("p")).select("id", "p.pos", "p.question", "p.answer")
 
 
+_INTRO = "'" + fixed.GENERATED_INTRODUCTION.replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(
+    f"""with {_RESPONSES}, c as ({_choices_sql()}), o as (select *, string_split(options, '|') as os from c)
+select id, pos, {_INTRO} || question || chr(10) || chr(10) || array_to_string(os, chr(10)) as human, 'The correct answer is ' || correct_answer || ') ' || coalesce(substr(list_filter(os, lambda x: substr(x, 1, 1) = correct_answer)[1], 4), '') as gpt from o"""
+)
+def generated_mcq_records(spark: SparkSession, folder: str) -> DataFrame:
+    """What is asked and answered in records made of a model's responses with options."""
+    found = parsing.generated_choices(_responses(spark, folder), "id", "t")
+    human, gpt = records.generated_turns(F.col("question"), F.col("options"), F.col("correct_answer"))
+    return found.select("id", "pos", human.alias("human"), gpt.alias("gpt"))
+
+
+@query(f"select id, pos, {_INTRO} || question as human, answer as gpt from ({SQL['llm_qa_parse']}) where question is not null and answer is not null")
+def generated_qa_records(spark: SparkSession, folder: str) -> DataFrame:
+    """What is asked and answered in records made of a model's free answers; those that lack a part are left out."""
+    found = llm_qa_parse(spark, folder).filter("question is not null and answer is not null")
+    return found.select("id", "pos", F.concat(F.lit(fixed.GENERATED_INTRODUCTION), "question").alias("human"), F.col("answer").alias("gpt"))
+
+
 # --- records ----------------------------------------------------------------------------------------------------------
 
 
