@@ -103,7 +103,7 @@ def search_query_projection(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "declarations", "idx", *parts).select("idx", links.search_text(*parts).alias("query"))
 
 
-@query("select event_id, url, rank from (select event_id, url, row_number() over (partition by event_id order by min(found_at), url) as rank from articles where url is not null group by event_id, url) where rank <= 5")
+@query("select event_id, url, rank::int as rank from (select event_id, url, row_number() over (partition by event_id order by min(found_at), url) as rank from articles where url is not null group by event_id, url) where rank <= 5")
 def top5_links_per_event(spark: SparkSession, folder: str) -> DataFrame:
     found = table(spark, folder, "articles", "event_id", "url", "found_at").filter("url is not null").groupBy("event_id", "url").agg(F.min("found_at").alias("found_at"))
     return events.top_rows(found, "event_id", 5, "found_at", "url").select("event_id", "url", "rank")
