@@ -37,7 +37,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_items(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.leaked_items(p7_found(spark, folder), _passages(spark, folder))
+    return leakage.leaked_items(p7_found(spark, folder), _passages(spark, folder)).withColumn("item_id", F.col("item_id").cast("int"))
 
 
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
