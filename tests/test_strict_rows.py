@@ -25,7 +25,7 @@ def test_parts():
     [
         ("", "column_count"), ("12", "column_count"), ('12,""', "column_count"), ("12,https://a.example/x", "column_count"),
         ("12,u,(1, 2)", "column_count"), ("12,u,(1, 2),{'a': (1, 2)}", "column_count"), ("12,u,(1, 2),[2020-01-01: x]", "column_count"),
-        ("12,u,{'a': (1, 2)},[2020-01-01: x]", "column_count"), ("12,(1, 2),{'a': (1, 2)},[2020-01-01: x]", "column_count"), (GOOD + ",2", "column_count"), (GOOD + ",[]", "column_count"), (GOOD + ",{}", "column_count"),
+        ("12,u,{'a': (1, 2)},[2020-01-01: x]", "column_count"), ("12,(1, 2),{'a': (1, 2)},[2020-01-01: x]", "column_count"), (GOOD + ",2", "column_count"), (GOOD + ",[]", "column_count"), (GOOD + ",{}", "column_count"), (GOOD.replace("(40.5, -100.25)", "(40.5, -100.25),(40.5, -100.25)"), "column_count"),
         (QUOTED[:-1] + ',2"', "column_count"), (QUOTED + ",2", "column_count"),
         (QUOTED[:-1], "broken_quote"), (QUOTED.replace('12,"', "12,", 1), "broken_quote"), (QUOTED.replace("a.example", 'a.ex"ample'), "broken_quote"), (GOOD.replace("'Alder", "Alder"), "broken_quote"),
         (GOOD.replace("North'", "North"), "broken_quote"), (INNER, "broken_quote"), (QUOTED.replace('""O', "O", 1), "broken_quote"),

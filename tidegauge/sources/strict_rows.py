@@ -180,6 +180,8 @@ def parse(line: str) -> Parts:
     url = front[: opened - 1] if opened else ""
     if opened == 0 or front[opened - 1] != "," or not url:
         raise Fail(COLUMN_COUNT)
+    if re.search(r"(?:^|,)\([^()]*\)$", url):  # a url may hold commas, but a second point is a part too many
+        raise Fail(COLUMN_COUNT)
     if not places.endswith("}"):
         raise Fail(COLUMN_COUNT if "}" in places else UNCLOSED_BRACKET)
     if tail is None:
