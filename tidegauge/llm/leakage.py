@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.words import words
 
 #: Words of passages in one table; more passages are searched for in several blocks.
-TABLE_WORDS = 2_000_000
+TABLE_WORDS = 200_000
 _BLOCK = 2
 
 
