@@ -41,9 +41,11 @@ TRUSTED = (
     "access denied you do not have permission", "do not have permission to view", "too many requests from your", "session has expired", "session expired", "connection was reset", "connection timed out",
     "site can t be reached", "try again in a few minutes", "log in again to",
     "enable javascript", "javascript is turned off", "javascript is disabled", "javascript is required", "cookies and javascript", "scripting enabled", "allow scripts", "does not run the scripts", "does not support javascript",
-    "content hidden until scripts run", "requires javascript", "noscript",
+    "content hidden until scripts run", "requires javascript", "noscript", "javascript must be enabled", "turn on javascript", "activate javascript", "enable scripts", "scripts are disabled", "scripts are blocked", "browser is not supported", "enable cookies",
     "lorem ipsum", "dolor sit amet", "consectetur adipiscing", "sed do eiusmod", "dummy text", "sample text", "placeholder text", "tbd tbd", "to be completed", "to be determined", "your headline here", "headline goes here",
     "summary goes here", "text goes here", "type your statement", "in this box", "asdf asdf", "qwer asdf", "xxxx xxxx", "coming soon", "under construction",
+    "internal server error", "gateway time out", "page does not exist", "page isn t working", "too many redirects", "redirected you too many times", "checking your browser", "verify you are human",
+    "quis nostrud", "ut labore et dolore", "filler text", "your text here", "insert text", "replace this text", "test test test", "foo bar baz",
 )
 
 _TOKEN = re.compile(r"PLACEHOLDER|[^\W\d_]+(?:'[^\W\d_]+)?|\d[\d,.:]*|[^\w\s]")
