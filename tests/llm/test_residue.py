@@ -34,6 +34,19 @@ def test_learns_and_judges(spark):
     assert {r["id"]: r["residue"] for r in residue.judge(new, model).collect()} == {1: True, 2: True, 3: False, 4: False}
 
 
+def test_residue_within_long_news(spark):
+    """Trusted passages stay residue whatever stands around them, and so does residue that no phrase marks."""
+    model = residue.fit(passages(spark))
+    news = " ".join(t.format(7) for t in (NEWS[0], NEWS[1], NEWS[3], NEWS[6], NEWS[7]))
+    rows = [(1, 0, news), (2, 0, news.replace("homes", "{{place}}", 1)), (3, 0, news + " Lorem ipsum dolor sit amet. " + news), (4, 0, news + " Sorry, the page you were looking for could not be found, please enable JavaScript. " + news)]
+    got = {r["id"]: (r["residue"], r["trusted"], r["probability"] == 1) for r in residue.judge(spark.createDataFrame(rows, "id long, pos int, text string"), model).collect()}
+    assert got[1] == (False, False, False) and all(got[k] == (True, True, True) for k in (2, 3, 4))
+    other = news + " Sorry, the page was not found. To view this page please enable your JavaScript now. " + news
+    assert model.score(residue._slots(residue.features(other))) < 0 < residue.best_score(model, other)
+    parts = residue.windows(" ".join(map(str, range(40))))
+    assert set(" ".join(parts).split()) == set(map(str, range(40))) and residue.windows(None) == [""]
+
+
 def test_edges(spark):
     model = residue.fit(passages(spark))
     rows = [(1, 0, None), (1, 1, ""), (1, 2, "word " * 50_000), (2, 0, "TBD TBD TBD"), (2, 0, "TBD TBD TBD"), (None, 0, "x"), (3, None, "x")]

@@ -100,6 +100,19 @@ def features(text: str | None) -> list[str]:
     return list(found)
 
 
+#: Words of a window by which long passages are judged; windows overlap by half.
+WINDOW = 12
+
+
+def windows(text: str | None) -> list[str]:
+    """Parts of a passage longer than one and a half windows that together hold all its words, each beginning at every half window; else the passage."""
+    words = (text or "").split()
+    if len(words) <= WINDOW * 3 // 2:
+        return [text or ""]
+    half = WINDOW // 2
+    return [" ".join(words[k : k + WINDOW]) for k in range(0, len(words) - half, half)]
+
+
 def _slots(words: list[str]) -> list[int]:
     return sorted({xxhash.xxh3_64_intdigest(w) & (SLOTS - 1) for w in words})
 
@@ -170,22 +183,34 @@ def fit(passages: DataFrame, rounds: int = ROUNDS) -> Model:
     return model
 
 
+def best_score(model: Model, text: str | None) -> float:
+    """The score of the passage, or of its best window: residue within long news is not outvoted. Only the whole passage can lack a name or number."""
+    whole = features(text)
+    lacks = [w for w in whole if w in ("_no_name", "_no_number")]
+    best = model.score(_slots(whole))
+    parts = windows(text)
+    for part in parts if len(parts) > 1 else []:
+        found = [w for w in features(part) if w not in ("_no_name", "_no_number")]
+        best = max(best, model.score(_slots(found + lacks)))
+    return best
+
+
 def _judge(shared, threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for batch in batches:
             scores, trusted = [], []
             for t in batch["text"]:
-                scores.append(model.score(_slots(features(t))))
+                scores.append(best_score(model, t))
                 trusted.append(is_trusted(t))
-            p = 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
+            p = np.where(trusted, 1.0, 1 / (1 + np.exp(-np.clip(scores, -30, 30))))
             yield batch.drop(columns="text").assign(probability=p, trusted=trusted, residue=(p >= threshold))
 
     return run
 
 
 def judge(passages: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """Each passage of ``passages`` (id: integer, pos: integer, text) with probability, trusted and residue (probability at least ``threshold``).
+    """Each passage of ``passages`` (id: integer, pos: integer, text) with probability (1 if trusted), trusted and residue (probability at least ``threshold``).
 
     Rows without id or pos are left out; null and empty texts get the prior. Repeated rows are judged each; other columns are dropped; an empty table gives an empty result.
     """
