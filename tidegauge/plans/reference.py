@@ -5,7 +5,7 @@ SQL is written for DuckDB and runs on the whole tables, as the queries do.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed, geo
 from ..functions.text import one_line
@@ -19,6 +19,9 @@ QUIET_TEMPLATED = (*fixed.NO_EVENT_TEMPLATED, "ties no event", "No change could
 #: Substrings of addresses to drop, with one that occurs in these tables.
 UNWANTED = (*fixed.BLACKLIST, "alert-")
 
+#: Texts in a part of an event's article.
+PART_TEXTS = 100
+
 
 def query(sql: str | None = None):
     def add(f):
@@ -145,6 +148,17 @@ def article_concat(spark: SparkSession, folder: str) -> DataFrame:
     return events.top_rows(docs, "event_id", 5, "crawled_at", "doc_id").groupBy("event_id").agg(F.concat(F.array_join(F.transform(parts, lambda x: x["text"]), "\n"), F.lit("\n")).alias("article"), F.count("*").alias("n"))
 
 
+@query("""with d as (select doc_id, event_id, text, row_number() over (partition by event_id order by crawled_at, doc_id) - 1 as k from documents where event_id is not null and text is not null)
+select event_id, (k // 100)::int as part, string_agg(text || chr(10), '' order by k) as article, count(*) as n from d group by event_id, k // 100""")
+def article_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts of each event after one another, each with a line end, in ordered parts of at most 100 texts; the parts of an event joined in order are its article."""
+    docs = table(spark, folder, "documents", "doc_id", "event_id", "text", "crawled_at").filter("event_id is not null and text is not null")
+    at = F.row_number().over(Window.partitionBy("event_id").orderBy("crawled_at", "doc_id")) - 1
+    parts = F.array_sort(F.collect_list(F.struct("at", "text")))
+    placed = docs.withColumn("at", at).withColumn("part", F.floor(F.col("at") / PART_TEXTS).cast("int"))
+    return placed.groupBy("event_id", "part").agg(F.concat(F.array_join(F.transform(parts, lambda x: x["text"]), "\n"), F.lit("\n")).alias("article"), F.count("*").alias("n"))
+
+
 _HTML = "'<html><head>' || coalesce('<title>' || source || '</title>', '') || '</head><body><p class=\"a\">' || replace(text, chr(10) || chr(10), '</p><p>') || '</p></body></html>'"
 
 
