@@ -14,3 +14,10 @@ def test_article_parts_hold_all_texts(spark, tmp_path):
     got = sorted(tuple(r) for r in QUERIES["article_parts"](spark, str(tmp_path)).collect())
     assert [(e, p, n) for e, p, _, n in got] == [(7, 0, 100), (7, 1, 100), (7, 2, 50), (8, 0, 1)]
     assert "".join(a for e, _, a, _ in got if e == 7) == "".join(f"t{k}\n" for k in range(250))
+
+
+def test_all_links_are_kept(spark, tmp_path):
+    rows = [(7, f"u{9 - k}", DAY + datetime.timedelta(k)) for k in range(9)] + [(7, "u9", DAY), (7, None, DAY), (8, "v", None)]
+    spark.createDataFrame(rows, "event_id int, url string, found_at timestamp").write.parquet(str(tmp_path / "articles.parquet"))
+    got = {r["event_id"]: (r["links"], r["n"]) for r in QUERIES["all_links_per_event"](spark, str(tmp_path)).collect()}
+    assert got == {7: ("\n".join(f"u{k}" for k in range(9, 0, -1)), 9), 8: ("v", 1)}

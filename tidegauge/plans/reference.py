@@ -119,6 +119,15 @@ def links_per_event(spark: SparkSession, folder: str) -> DataFrame:
     return top5_links_per_event(spark, folder).groupBy("event_id").agg(F.array_join(F.transform(found, lambda x: x["url"]), "\n").alias("links"), F.count("*").alias("n"))
 
 
+@query("select event_id, string_agg(url, chr(10) order by found, url) as links, count(*) as n from (select event_id, url, min(found_at) as found from articles where url is not null group by event_id, url) group by event_id")
+def all_links_per_event(spark: SparkSession, folder: str) -> DataFrame:
+    """All distinct links of each event as one list, in the order in which they were first found."""
+    links_ = table(spark, folder, "articles", "event_id", "url", "found_at").filter("url is not null").groupBy("event_id", "url").agg(F.min("found_at").alias("found_at"))
+    # As in SQL, a link without a time comes last.
+    found = F.array_sort(F.collect_list(F.struct(F.col("found_at").isNull().alias("late"), "found_at", "url")))
+    return links_.groupBy("event_id").agg(F.array_join(F.transform(found, lambda x: x["url"]), "\n").alias("links"), F.count("*").alias("n"))
+
+
 @query("select try_cast(split_part(line, ',', 1) as int) as event_id, split_part(line, ',', 2) as url from (select event_id || ',' || url || ',' as line from articles where url is not null)")
 def link_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Link lines read back: the key before the first comma, the url up to the second, so one with a comma is cut."""
