@@ -21,3 +21,10 @@ def test_all_links_are_kept(spark, tmp_path):
     spark.createDataFrame(rows, "event_id int, url string, found_at timestamp").write.parquet(str(tmp_path / "articles.parquet"))
     got = {r["event_id"]: (r["links"], r["n"]) for r in QUERIES["all_links_per_event"](spark, str(tmp_path)).collect()}
     assert got == {7: ("\n".join(f"u{k}" for k in range(9, 0, -1)), 9), 8: ("v", 1)}
+
+
+def test_places_of_all_lines_are_looked_up(spark, tmp_path):
+    rows = [(k, f"{k},http://x/{k},(10.0, 20.0),{{'P{k}': (1.5, 2.5)}},[2020-01-01: a]") for k in range(1, 5)]
+    spark.createDataFrame(rows, "line_no long, raw_line string").write.parquet(str(tmp_path / "packed_rows.parquet"))
+    got = sorted((r["event_id"], r["name"], r["lat"], r["lon"]) for r in QUERIES["geocode_all_lines"](spark, str(tmp_path)).collect())
+    assert got == [(k, f"P{k}", 1.5, 2.5) for k in range(1, 5)]

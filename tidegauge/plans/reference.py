@@ -438,6 +438,16 @@ def offline_geocode(spark: SparkSession, folder: str) -> DataFrame:
     return asked.join(gazetteer, "name").select("event_id", "name", "lat", "lon")
 
 
+@query(f"with {_PL}, g as (select name, arg_min(lat, (line_no, pos)) as lat, arg_min(lon, (line_no, pos)) as lon from pl group by name) select event_id, name, g.lat, g.lon from (select distinct {_IDX} as event_id, name from pl) join g using (name)")
+def geocode_all_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Place names of all lines looked up in a gazetteer, here made of the first place of each name; names that it lacks are dropped."""
+    found = _places(spark, folder).select("line_no", _whole_number("id").alias("event_id"), F.explode("places").alias("p"))
+    at = F.struct("line_no", "p.pos")
+    gazetteer = found.groupBy(F.col("p.name").alias("name")).agg(F.min_by("p.lat", at).alias("lat"), F.min_by("p.lon", at).alias("lon"))
+    asked = found.select("event_id", F.col("p.name").alias("name")).distinct()
+    return asked.join(gazetteer, "name").select("event_id", "name", "lat", "lon")
+
+
 # --- questions --------------------------------------------------------------------------------------------------------
 
 
