@@ -66,3 +66,9 @@ def test_joined_dictionary_equals_sent_one(spark):
 
 def test_delimiters_split_nothing_else():
     assert not re.search(r"[,;|/\n\t]", "".join(names("a,b;c|d/e\nf\tg")))
+
+
+def test_joined_dictionary_keeps_names_with_brackets(spark):
+    rows = spark.createDataFrame([(1, '"Aston (East), Barrow"; Cole'), (2, "Aston (East), Barrow; Dunn")], "id long, field string")
+    sent, joined = ({r["id"]: r["items"] for r in split_names(rows, n).collect()} for n in (100, 0))
+    assert sent == joined and sent[2] == ["Aston (East), Barrow", "Dunn"]

@@ -215,6 +215,7 @@ def split_names(rows: DataFrame, sent_values: int = BROADCAST_ROWS) -> DataFrame
     ends = r"^[\s\[\]{}(]+|[\s\]})]+$"
     first = F.array_distinct(F.transform(F.split("field", _SPLIT.pattern), lambda p: F.regexp_replace(p, ends, "")))
     pieces = rows.select("field").distinct().withColumn("first", F.explode(first))
+    known = known.withColumn("first", F.regexp_replace("first", ends, ""))  # as the pieces are, or names in brackets meet none
     own = pieces.join(known, "first").groupBy("field").agg(F.collect_set("value").alias("known"))
     return rows.join(own, "field", "left").select("id", "field", "known").mapInPandas(_cut_own, "id long, items array<string>")
 
