@@ -42,7 +42,7 @@ def test_residue_within_long_news(spark):
     got = {r["id"]: (r["residue"], r["trusted"], r["probability"] == 1) for r in residue.judge(spark.createDataFrame(rows, "id long, pos int, text string"), model).collect()}
     assert got[1] == (False, False, False) and all(got[k] == (True, True, True) for k in (2, 3, 4))
     other = news + " Sorry, the page was not found. To view this page please enable your JavaScript now. " + news
-    assert model.score(residue._slots(residue.features(other))) < 0 < residue.best_score(model, other)
+    assert [(r["residue"], r["trusted"]) for r in residue.judge(spark.createDataFrame([(5, 0, other)], "id long, pos int, text string"), model).collect()] == [(True, False)]
     parts = residue.windows(" ".join(map(str, range(40))))
     assert set(" ".join(parts).split()) == set(map(str, range(40))) and residue.windows(None) == [""]
 
@@ -75,3 +75,36 @@ def test_statements(spark):
     df = spark.createDataFrame([(1, "[2020-01-01: a b. 2020-01-02 - {name}]", 0), (2, None, 0), (3, "none", 0), (None, "2020-01-01: x", 0)], "row_id long, statements string, pos int")
     got = [(r["id"], r["pos"], r["date"]) for r in statements(df, "row_id", "statements").collect()]
     assert got == [(1, 0, "2020-01-01"), (1, 1, "2020-01-02")]
+
+
+FAMILIES = [
+    "404 Not Found - the page /x/{} does not exist.", "403 Forbidden", "Please enable JavaScript to view this page.", "Scripts must be on for this story, reader.", "Lorem ipsum dolor sit amet.", "Write your own summary in this box.",
+    "asdf qwer asdf", "tbd tbd tbd", "Oops! Wrong link.", "Your session is over, sign in again.", "Too many calls, slow down please.", "This browser is too old.",
+]
+STORIES = [
+    "Crews held the line at {}, while {} homes were checked.", "High water covered {1} barns at {0}.", "A page of the {} log listed {} requests that timed out.", "Forms at {} ask for name, county and count of {} barns.",
+    "Officials toured {} with {} people.", "The script of the siren test at {} was read at {}.", "Fewer than {1} percent of wells at {0} were tested.", "The road to {} was closed {} days.",
+    "Ash fell on {} through {}.", "Access was denied to trucks over {1} tons at {0}.",
+]
+
+
+@pytest.mark.parametrize("phrases", [residue.TRUSTED, residue.TRUSTED[:2], residue.TRUSTED[-1:]])
+def test_families_held_out(spark, phrases):
+    """Families whose wordings no trusted record holds are found by the model, however often they are repeated; real kinds aren't."""
+    places = [f"{a}{b} Fork" for a in ("Elm", "Red", "Pine", "Oak") for b in ("ton", "dale", "burg", "wick", "mere", "by")]
+    things = "barns homes docks fences wells trucks bridges people silos pumps".split()
+    real = [f"{t.format(p, k + 2)[:-1]} near {k} {o}." for t in STORIES for o in things for k, p in enumerate(places[:8])] + ["Nothing was reported for this date."] * 200 + [f"Crews logged {k} acres {w} of {p}." for k, p in enumerate(places) for w in ("north", "south", "uphill")]
+    bad = [t.format(k) for t in FAMILIES for k in range(30)] + [f"Crews reached {{{{ {w} }}}} and counted 3 {o}." for w in ("place", "name") for o in ("barns", "homes", "docks", "fences", "wells")]
+    df = spark.createDataFrame([(k, 0, t) for k, t in enumerate(real + bad)], "id long, pos int, text string")
+    judged = residue.fit_and_judge(df, phrases=phrases).collect()
+    found = {r["id"] for r in judged if r["residue"]}
+    held_out = {r["id"] for r in judged if r["id"] >= len(real) and not r["trusted"]}
+    assert len(judged) == len(real + bad) and not any(k < len(real) for k in found)
+    assert len(held_out & found) >= 0.9 * len(held_out) > 150
+
+
+def test_wording():
+    assert residue.wording("Crews reached Elm Fork by 4:00.") == (["crews", "reached", "by"], "Elm Fork", True)
+    assert residue.wording("Elm Fork lost power. Crews came") == (["lost", "power", "crews", "came"], "Elm Fork", False)
+    assert residue.wording("Page Not Found") == (["page", "not", "found"], "", False) and residue.wording("PAGE /a/b {{x}}")[0] == ["page", "_path", "_placeholder"]
+    assert residue.wording(None) == ([], "", False)

@@ -72,7 +72,7 @@ def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def _judged(spark: SparkSession, folder: str) -> DataFrame:
     said = statements(table(spark, folder, "consolidated", "row_id", "statements"), "row_id", "statements")
-    return residue.judge(said, residue.fit(said))
+    return residue.fit_and_judge(said)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
