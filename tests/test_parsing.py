@@ -73,6 +73,13 @@ def test_html(spark):
     assert tuple(got) == ("A b", "one two\nlines")
     assert tuple(one(spark, parsing.html_parts, "<p>x</p>")) == ("No title found", "x")
     assert tuple(one(spark, parsing.html_parts, "")) == ("No title found", "")
+    for page, content in (
+        ("<svg><path d='M'/></svg><div>menu</div><p>real</p>", "real"), ("<pre>code</pre><p>x</p>", "x"), ("<P>big</P><param><picture>y</picture>", "big"), ("<p>a &amp; b &lt;c&gt; &#39;d&#39;</p>", "a & b <c> 'd'"),
+        ("<p>one<p>two<div>no</div>", "one two"), ("<!-- <p>no</p> --><p>a<script>x<p>y</p></script>b<style>p{}</style></p>", "ab"), ("<ul><li><p>in</ul> out", "in"), ("<p", ""), ("plain", ""), ("<p></p><p>x</p>", " x"),
+    ):
+        assert one(spark, parsing.html_parts, page)["content"] == content, page
+    assert tuple(one(spark, parsing.html_parts, "<TITLE>A &amp; B</TITLE><title>C</title>")) == ("A & B", "")
+    assert tuple(one(spark, parsing.html_parts, None)) == ("No title found", None)
 
 
 def test_positional_fields(spark):

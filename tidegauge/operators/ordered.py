@@ -22,15 +22,31 @@ def with_ordinal(df: DataFrame, *order: str | Column, name: str = "ordinal") ->
     return numbered.withColumn(name, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_start")
 
 
-def fill_forward(df: DataFrame, order: str, value: Column, name: str, span: int = 100_000) -> DataFrame:
+def within(df: DataFrame, key: str, *order: str | Column, name: str = "at") -> DataFrame:
+    """``df`` with the row number from 0 among the rows of the same ``key`` (not null), in ``order``, which must be total.
+
+    The rows are ordered as a whole, so the rows of a hot key stand in many partitions and are never sorted in one task.
+    """
+    placed = with_ordinal(df, key, *order, name="_row")
+    starts = placed.groupBy(key).agg(F.min("_row").alias("_first"))
+    return placed.join(starts, key).withColumn(name, F.col("_row") - F.col("_first")).drop("_row", "_first")
+
+
+def _carried(last: DataFrame, by: str, name: str, window) -> DataFrame:
+    """``last`` with the last non-null ``name`` of the rows before, within the window."""
+    return last.withColumn("_carried", F.last(name, ignorenulls=True).over(window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)))
+
+
+def fill_forward(df: DataFrame, order: str, value: Column, name: str, span: int = 100_000, wide: int = 10_000) -> DataFrame:
     """``df`` with the last non-null ``value`` at or before each row in the order of the integer column ``order``.
 
-    Rows are cut into spans of ``order``; a row without a value in its own span takes the last one of the spans before, of which
-    there is one row each.
+    Rows are cut into spans of ``order``, spans into groups of ``wide``. A row without a value in its own span takes the last one of the
+    spans of its group before, and if these have none the last one of the groups before, of which there is one row each.
     """
-    cut_ = df.withColumn("_span", F.floor(F.col(order) / span)).withColumn(name, value)
+    rows = df.withColumn("_span", F.floor(F.col(order) / span)).withColumn(name, value)
     own = Window.partitionBy("_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    last = cut_.groupBy("_span").agg(F.max_by(name, F.when(F.col(name).isNotNull(), F.col(order))).alias("_last"))
-    before = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select("_span", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
-    return cut_.join(carried, "_span").withColumn(name, F.coalesce(F.last(name, ignorenulls=True).over(own), "_carried")).drop("_span", "_carried")
+    spans = rows.groupBy("_span").agg(F.max_by(name, F.when(F.col(name).isNotNull(), F.col(order))).alias("_last")).withColumn("_group", F.floor(F.col("_span") / wide))
+    groups = spans.groupBy("_group").agg(F.max_by("_last", F.when(F.col("_last").isNotNull(), F.col("_span"))).alias("_latest"))
+    groups = _carried(groups, "_group", "_latest", Window.partitionBy()).select("_group", F.col("_carried").alias("_far"))
+    spans = _carried(spans, "_span", "_last", Window.partitionBy("_group")).join(groups, "_group").select("_span", F.coalesce("_carried", "_far").alias("_before"))
+    return rows.join(spans, "_span").withColumn(name, F.coalesce(F.last(name, ignorenulls=True).over(own), "_before")).drop("_span", "_before")

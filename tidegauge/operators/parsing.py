@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType, StructType
 
 from ..functions.fixed import CRITERIA, NO_EVENT_READ
 from ..functions.text import contains_any, one_line, strip
@@ -122,15 +127,66 @@ def place_list(text: Column, exact: bool = False) -> Column:
     return F.split(F.coalesce(inner, whole), ",", -1)
 
 
-def html_parts(html: Column) -> Column:
-    """STRUCT<title, content>: the title or "No title found", and the texts of all paragraphs joined by blanks."""
-    tags = r"<[^>]*>"
-    title = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    paragraphs = F.regexp_extract_all(html, F.lit(r"(?s)<p[^>]*>(.*?)</p>"), F.lit(1))
-    return F.struct(
-        F.when(F.rlike(html, F.lit(r"(?i)<title")), F.regexp_replace(title, tags, "")).otherwise("No title found").alias("title"),
-        F.array_join(F.transform(paragraphs, lambda p: F.regexp_replace(p, tags, "")), " ").alias("content"),
-    )
+# Elements that end an open paragraph where they begin or end.
+_BLOCKS = set("address article aside blockquote body center div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td th tr ul".split())
+_SILENT = {"script", "style", "template", "noscript"}
+
+
+class _Page(HTMLParser):
+    """The title and the texts of the paragraphs of a page."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.title: list[str] | None = None
+        self.in_title, self.silent = False, 0
+        self.paragraphs: list[list[str]] = []
+        self.open = False
+
+    def handle_starttag(self, tag: str, attrs) -> None:
+        if tag in _SILENT:
+            self.silent += 1
+        elif tag == "title" and self.title is None:
+            self.title, self.in_title = [], True
+        if tag in _BLOCKS:
+            self.open = tag == "p"
+            if self.open:
+                self.paragraphs.append([])
+
+    def handle_startendtag(self, tag: str, attrs) -> None:
+        if tag in _BLOCKS:
+            self.open = False
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in _SILENT:
+            self.silent = max(0, self.silent - 1)
+        elif tag == "title":
+            self.in_title = False
+        if tag in _BLOCKS:
+            self.open = False
+
+    def handle_data(self, data: str) -> None:
+        if self.in_title:
+            self.title.append(data)
+        elif self.open and not self.silent:
+            self.paragraphs[-1].append(data)
+
+
+@F.pandas_udf(StructType().add("title", StringType()).add("content", StringType()))
+def html_parts(html: pd.Series) -> pd.DataFrame:
+    """STRUCT<title, content>: the title or "No title found", and the texts of all paragraphs joined by blanks.
+
+    Pages are read by a parser: names of elements in any case, entities, and paragraphs that end where the next block begins. Scripts, styles and
+    comments are no text. A null page has no title and null content; an empty one empty content.
+    """
+    titles, contents = [], []
+    for text in html:
+        page = _Page()
+        if text is not None:
+            page.feed(text)
+            page.close()
+        titles.append("No title found" if page.title is None else re.sub(r"<[^<>]*>", "", "".join(page.title)))
+        contents.append(None if text is None else " ".join("".join(p) for p in page.paragraphs))
+    return pd.DataFrame({"title": titles, "content": contents})
 
 
 def positional_fields(line: Column) -> Column:

@@ -19,8 +19,8 @@ QUIET_TEMPLATED = (*fixed.NO_EVENT_TEMPLATED, "ties no event", "No change could
 #: Substrings of addresses to drop, with one that occurs in these tables.
 UNWANTED = (*fixed.BLACKLIST, "alert-")
 
-#: Texts in a part of an event's article.
-PART_TEXTS = 100
+#: What an event has without bound (links, texts, image paths) is given in ordered parts of at most so many.
+PART = 100
 
 
 def query(sql: str | None = None):
@@ -112,20 +112,20 @@ def top5_links_per_event(spark: SparkSession, folder: str) -> DataFrame:
     return events.top_rows(found, "event_id", 5, "found_at", "url").select("event_id", "url", "rank")
 
 
-@query("select event_id, string_agg(url, chr(10) order by rank) as links, count(*) as n from (select event_id, url, row_number() over (partition by event_id order by min(found_at), url) as rank from articles where url is not null group by event_id, url) where rank <= 5 group by event_id")
-def links_per_event(spark: SparkSession, folder: str) -> DataFrame:
-    """The links of each event as one list, in the order in which they were found, as many as a search gives."""
-    found = F.array_sort(F.collect_list(F.struct("rank", "url")))
-    return top5_links_per_event(spark, folder).groupBy("event_id").agg(F.array_join(F.transform(found, lambda x: x["url"]), "\n").alias("links"), F.count("*").alias("n"))
+def _in_parts(df: DataFrame, key: str, value: str, order: list) -> DataFrame:
+    """key, part (from 0), n, and the values of the part in order as an array; all values of a key stand in its parts."""
+    placed = ordered.within(df, key, *order, name="at").withColumn("part", F.floor(F.col("at") / PART).cast("int"))
+    values = F.transform(F.array_sort(F.collect_list(F.struct("at", value))), lambda x: x[value])
+    return placed.groupBy(key, "part").agg(values.alias("values"), F.count("*").alias("n"))
 
 
-@query("select event_id, string_agg(url, chr(10) order by found, url) as links, count(*) as n from (select event_id, url, min(found_at) as found from articles where url is not null group by event_id, url) group by event_id")
-def all_links_per_event(spark: SparkSession, folder: str) -> DataFrame:
-    """All distinct links of each event as one list, in the order in which they were first found."""
-    links_ = table(spark, folder, "articles", "event_id", "url", "found_at").filter("url is not null").groupBy("event_id", "url").agg(F.min("found_at").alias("found_at"))
-    # As in SQL, a link without a time comes last.
-    found = F.array_sort(F.collect_list(F.struct(F.col("found_at").isNull().alias("late"), "found_at", "url")))
-    return links_.groupBy("event_id").agg(F.array_join(F.transform(found, lambda x: x["url"]), "\n").alias("links"), F.count("*").alias("n"))
+@query("""with l as (select event_id, url, row_number() over (partition by event_id order by found, url) - 1 as k from (select event_id, url, min(found_at) as found from articles where url is not null and event_id is not null group by event_id, url))
+select event_id, (k // 100)::int as part, string_agg(url, chr(10) order by k) as links, count(*) as n from l group by event_id, k // 100""")
+def links_per_event(spark: SparkSession, folder: str) -> DataFrame:
+    """All distinct links of each event in the order in which they were first found, those without a time last, in parts of at most 100."""
+    found = table(spark, folder, "articles", "event_id", "url", "found_at").filter("url is not null and event_id is not null").groupBy("event_id", "url").agg(F.min("found_at").alias("found_at"))
+    parts = _in_parts(found, "event_id", "url", [F.col("found_at").isNull(), "found_at", "url"])
+    return parts.select("event_id", "part", F.array_join("values", "\n").alias("links"), "n")
 
 
 @query("select try_cast(split_part(line, ',', 1) as int) as event_id, split_part(line, ',', 2) as url from (select event_id || ',' || url || ',' as line from articles where url is not null)")
@@ -149,36 +149,28 @@ def skip_processed_antijoin(spark: SparkSession, folder: str) -> DataFrame:
     return open_.join(done, open_["event_id"] == done["event"], "left_anti")
 
 
-@query("select event_id, string_agg(text || chr(10), '' order by rn) as article, count(*) as n from (select event_id, text, row_number() over (partition by event_id order by crawled_at, doc_id) rn from documents where event_id is not null and text is not null) where rn <= 5 group by event_id")
-def article_concat(spark: SparkSession, folder: str) -> DataFrame:
-    """The texts of the first five articles of each event after one another, each with a line end."""
-    docs = table(spark, folder, "documents", "doc_id", "event_id", "text", "crawled_at").filter("event_id is not null and text is not null")
-    parts = F.array_sort(F.collect_list(F.struct("rank", "text")))
-    return events.top_rows(docs, "event_id", 5, "crawled_at", "doc_id").groupBy("event_id").agg(F.concat(F.array_join(F.transform(parts, lambda x: x["text"]), "\n"), F.lit("\n")).alias("article"), F.count("*").alias("n"))
-
-
 @query("""with d as (select doc_id, event_id, text, row_number() over (partition by event_id order by crawled_at, doc_id) - 1 as k from documents where event_id is not null and text is not null)
 select event_id, (k // 100)::int as part, string_agg(text || chr(10), '' order by k) as article, count(*) as n from d group by event_id, k // 100""")
-def article_parts(spark: SparkSession, folder: str) -> DataFrame:
-    """All texts of each event after one another, each with a line end, in ordered parts of at most 100 texts; the parts of an event joined in order are its article."""
+def article_concat(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts of each event after one another, each with a line end, in parts of at most 100 texts; the parts of an event joined in order are its article."""
     docs = table(spark, folder, "documents", "doc_id", "event_id", "text", "crawled_at").filter("event_id is not null and text is not null")
-    at = F.row_number().over(Window.partitionBy("event_id").orderBy("crawled_at", "doc_id")) - 1
-    parts = F.array_sort(F.collect_list(F.struct("at", "text")))
-    placed = docs.withColumn("at", at).withColumn("part", F.floor(F.col("at") / PART_TEXTS).cast("int"))
-    return placed.groupBy("event_id", "part").agg(F.concat(F.array_join(F.transform(parts, lambda x: x["text"]), "\n"), F.lit("\n")).alias("article"), F.count("*").alias("n"))
+    parts = _in_parts(docs, "event_id", "text", [F.col("crawled_at").isNull(), "crawled_at", "doc_id"])
+    return parts.select("event_id", "part", F.concat(F.array_join("values", "\n"), F.lit("\n")).alias("article"), "n")
 
 
-_HTML = "'<html><head>' || coalesce('<title>' || source || '</title>', '') || '</head><body><p class=\"a\">' || replace(text, chr(10) || chr(10), '</p><p>') || '</p></body></html>'"
+def _page(title, text):
+    """A page around a text, with much that is no paragraph; the paragraphs are written in several ways."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&#62;"))
+    head = F.coalesce(F.concat(F.lit("<TITLE>"), safe(title), F.lit("</TITLE>")), F.lit(""))
+    body = F.replace(safe(text), F.lit("\n\n"), F.lit("</P><svg><path d='M0'/></svg><div>menu</div><p id=\"b\">"))
+    return F.concat(F.lit("<html><head>"), head, F.lit("<script>var p = '<p>no</p>';</script></head><body><pre>code</pre><!-- <p>no</p> --><P class='a'>"), body, F.lit("<p>end <b>of</b> page</body></html>"))
 
 
-@query(
-    f"""with h as (select doc_id, {_HTML} as html from documents)
-select doc_id, case when regexp_matches(html, '(?i)<title') then regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g') else 'No title found' end as title,
-  array_to_string(list_transform(regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>', 1), lambda p: regexp_replace(p, '<[^>]*>', '', 'g')), ' ') as content from h"""
-)
+# The SQL states what stands in the paragraphs from the text itself, without any page.
+@query("select doc_id, coalesce(source, 'No title found') as title, replace(text, chr(10) || chr(10), ' ') || ' end of page' as content from documents where text is not null")
 def html_title_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents", "doc_id", "source", "text").withColumn("html", F.expr(_HTML.replace("chr(", "char(")))
-    return docs.withColumn("h", parsing.html_parts(F.col("html"))).select("doc_id", "h.title", "h.content")
+    docs = table(spark, folder, "documents", "doc_id", "source", "text").filter("text is not null").withColumn("html", _page(F.col("source"), F.col("text")))
+    return docs.select("doc_id", parsing.html_parts(F.col("html")).alias("h")).select("doc_id", "h.title", "h.content")
 
 
 # --- images -----------------------------------------------------------------------------------------------------------
@@ -189,11 +181,13 @@ def image_dates_from_names(spark: SparkSession, folder: str) -> DataFrame:
     return events.image_dates(_files(spark, folder)).select(F.col("event").alias("event_id"), F.array_join("dates", ",").alias("dates"))
 
 
-@query(f"with {_IM} select folder_id as event_id, count(*) as n, string_agg(path, ',' order by path) as paths, sum(contains(regexp_extract(path, '[^/]*$'), 'cloud')::int)::bigint as masks from im group by folder_id")
+@query(f"""with {_IM}, k as (select folder_id, path, row_number() over (partition by folder_id order by path) - 1 as k from im)
+select folder_id as event_id, (k // 100)::int as part, count(*) as n, string_agg(path, ',' order by k) as paths, sum(contains(regexp_extract(path, '[^/]*$'), 'cloud')::int)::bigint as masks from k group by folder_id, k // 100""")
 def image_paths_per_event(spark: SparkSession, folder: str) -> DataFrame:
-    files = _files(spark, folder)
-    masks = files.groupBy("event").agg(F.count_if("is_cloud").alias("masks"))
-    return events.image_paths(files).join(masks, "event").select(F.col("event").alias("event_id"), F.size("paths").cast("long").alias("n"), F.array_join("paths", ",").alias("paths"), "masks")
+    """All image paths of each event in order, in parts of at most 100, and how many of them are cloud masks."""
+    parts = _in_parts(_files(spark, folder), "event", "path", ["path"])
+    masks = F.size(F.filter("values", lambda p: F.contains(F.substring_index(p, "/", -1), F.lit("cloud")))).cast("long")
+    return parts.select(F.col("event").alias("event_id"), "part", "n", F.array_join("values", ",").alias("paths"), masks.alias("masks"))
 
 
 @query(
@@ -428,18 +422,8 @@ def augment_locations(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("line_no", parsing.augmented(F.col("text"), F.col("places")).alias("text"))
 
 
-@query(f"with {_PL}, g as (select name, arg_min(lat, (line_no, pos)) as lat, arg_min(lon, (line_no, pos)) as lon from pl group by name) select event_id, name, g.lat, g.lon from (select distinct {_IDX} as event_id, name from pl where line_no % 2 = 0) join g using (name)")
-def offline_geocode(spark: SparkSession, folder: str) -> DataFrame:
-    """Place names looked up in a gazetteer, here made of the first place of each name; names that it lacks are dropped."""
-    found = _places(spark, folder).select("line_no", _whole_number("id").alias("event_id"), F.explode("places").alias("p"))
-    at = F.struct("line_no", "p.pos")
-    gazetteer = found.groupBy(F.col("p.name").alias("name")).agg(F.min_by("p.lat", at).alias("lat"), F.min_by("p.lon", at).alias("lon"))
-    asked = found.filter("line_no % 2 = 0").select("event_id", F.col("p.name").alias("name")).distinct()
-    return asked.join(gazetteer, "name").select("event_id", "name", "lat", "lon")
-
-
 @query(f"with {_PL}, g as (select name, arg_min(lat, (line_no, pos)) as lat, arg_min(lon, (line_no, pos)) as lon from pl group by name) select event_id, name, g.lat, g.lon from (select distinct {_IDX} as event_id, name from pl) join g using (name)")
-def geocode_all_lines(spark: SparkSession, folder: str) -> DataFrame:
+def offline_geocode(spark: SparkSession, folder: str) -> DataFrame:
     """Place names of all lines looked up in a gazetteer, here made of the first place of each name; names that it lacks are dropped."""
     found = _places(spark, folder).select("line_no", _whole_number("id").alias("event_id"), F.explode("places").alias("p"))
     at = F.struct("line_no", "p.pos")
@@ -596,15 +580,16 @@ def qa_record_build(spark: SparkSession, folder: str) -> DataFrame:
     """Whole records of the templated questions on dates, with images, centre and conversation."""
     rows = _events(spark, folder)
     asked = questions.temporal_grounding(rows, "row_id").join(rows.select("row_id", "event_id", "events"), "row_id")
-    paths = events.image_paths(_files(spark, folder))
+    # Questions of a hot event would each repeat all its paths: a record refers to them by the event, and only their number is carried here.
+    paths = _files(spark, folder).groupBy("event").agg(F.count("*").cast("int").alias("images"))
     declared = _declared(spark, folder).filter("lat is not null and lon is not null").select("idx", "lat", "lon")
     whole = asked.join(paths, asked["event_id"] == paths["event"]).join(declared, F.col("event_id") == F.col("idx"))
     human, gpt = records.templated_turns(F.col("question"), F.col("options"), F.col("label"), F.col("explanation"), F.col("lat"), F.col("lon"))
     dates = F.array_sort(F.array_distinct(F.transform("events", lambda e: e["date"])))
-    columns = records.record(F.col("event_id"), F.col("paths"), F.col("lat"), F.col("lon"), dates, F.col("task"), human, gpt, "FrameEvents")
-    built = whole.select("row_id", *columns)
+    columns = records.record(F.col("event_id"), F.array().cast("array<string>"), F.col("lat"), F.col("lon"), dates, F.col("task"), human, gpt, "FrameEvents")
+    built = whole.select("row_id", "images", *columns)
     return ordered.with_ordinal(built, "row_id", name="id").select(
-        "id", "row_id", "folder_id", "dataset", "task", F.size("video").alias("images"), F.size("lat_lon").alias("dates"), F.array_join("timestamps", ",").alias("timestamps"),
+        "id", "row_id", "folder_id", "dataset", "task", "images", F.size("lat_lon").alias("dates"), F.array_join("timestamps", ",").alias("timestamps"),
         F.col("conversations")[0]["value_text"].alias("human"), F.col("conversations")[1]["value_text"].alias("gpt"),
     )
 
