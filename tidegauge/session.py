@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,8 @@ def build(app: str = "tidegauge", master: str | None = None, partitions: int | N
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.executorEnv.PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     )
     if master:
         builder = builder.master(master)
@@ -33,13 +37,17 @@ def build(app: str = "tidegauge", master: str | None = None, partitions: int | N
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with checkpoint() in the folder named by spark.checkpoint.dir.
 
-    That folder is shared by all executors, so what was cut survives the loss of any of them. A folder is
-    set here only where the session names none, as in local tests.
+    That folder is shared by all executors, so what was cut survives the loss of any of them. Only a session on one
+    machine, as in tests, may lack the setting and gets a folder of its own; on a cluster its absence is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidegauge-"))
+        if named is None:
+            if not re.match(r"local(\[|$)", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="tidegauge-")
+        context.setCheckpointDir(named)
     return df.checkpoint(eager=True)
 
 

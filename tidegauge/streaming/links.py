@@ -18,19 +18,31 @@ def search_queries(declarations: DataFrame) -> DataFrame:
     return declarations.select(F.col("idx").alias("event_id"), F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in PARTS)).alias("query"))
 
 
+#: Parts of the sink by event; a batch reads only those that its events fall into.
+SINK_PARTS = 64
+
+
 def gather_links(spark: SparkSession, source: str, schema, find: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> StreamingQuery:
     """Starts the stream: new Parquet files below ``source`` become queries, ``find`` gives event_id and url of each, new links go to ``sink``.
 
-    Links that the sink already holds are not written again, so a batch that is repeated after a failure adds nothing.
+    Links that the sink already holds are not written again, so a batch that is repeated after a failure adds nothing. The sink is partitioned by
+    event, and only the parts of the batch's events are read; that a sink can't be read is an error, only a sink that isn't there yet is none.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        links = find(batch).select("event_id", "url").dropna().distinct()
+        session = batch.sparkSession
+        part = F.pmod(F.hash("event_id"), F.lit(SINK_PARTS))
+        links = find(batch).select("event_id", "url").dropna().distinct().withColumn("part", part).persist()
         try:
-            links = links.join(batch.sparkSession.read.parquet(sink), ["event_id", "url"], "left_anti")
-        except Exception:  # noqa: BLE001 the sink is not there yet
-            pass
-        links.withColumn("batch", F.lit(epoch)).write.mode("append").parquet(sink)
+            place = session._jvm.org.apache.hadoop.fs.Path(sink)
+            if place.getFileSystem(session._jsc.hadoopConfiguration()).exists(place):
+                parts = [r[0] for r in links.select("part").distinct().collect()]  # at most SINK_PARTS
+                held = session.read.parquet(sink).filter(F.col("part").isin(parts)).select("event_id", "url")
+                links.join(held, ["event_id", "url"], "left_anti").withColumn("batch", F.lit(epoch)).write.mode("append").partitionBy("part").parquet(sink)
+            else:
+                links.withColumn("batch", F.lit(epoch)).write.partitionBy("part").parquet(sink)
+        finally:
+            links.unpersist()
 
     stream = search_queries(spark.readStream.schema(schema).parquet(source))
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
