@@ -78,3 +78,23 @@ def test_spellings_of_points(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
     got = {r["k"]: r["p"] for r in df.select("k", parse_point(df["t"]).alias("p")).collect()}
     assert all(tuple(got[k]) == (1.5, -2.0) for k in range(6)) and all(got[k] is None for k in range(6, len(texts)))
+
+
+def test_crowded_blocks_copy_few_points(spark, monkeypatch):
+    """A block of many points that are far apart for the radius is cut along its longitudes, not copied to parts."""
+    monkeypatch.setattr(nearby, "BLOCK_POINTS", 50)
+    rng = random.Random(2)
+    points = [(k, 40.0 + rng.uniform(-0.02, 0.02), 10.0 + rng.uniform(-2, 2)) for k in range(3000)]
+    df = spark.createDataFrame(points, "id long, lat double, lon double")
+    got = {(r["a_id"], r["b_id"]) for r in nearby.near_pairs(df, 0.2).collect()}
+    assert got == brute(points, 0.2) and len(got) > 300
+
+
+def test_region_of_many_corners_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(nearby, "_AT_ONCE", 100)
+    ring = [[math.sin(2 * math.pi * t / 5000) * 2, 179 + math.cos(2 * math.pi * t / 5000) * 3] for t in range(5000)]
+    points = spark.createDataFrame([(k, -1.9 + 0.2 * k, -180.0 + 0.1 * k) for k in range(20)], "id long, lat double, lon double")
+    regions = spark.createDataFrame([(1, ring), (2, [[-90.0, -180.0], [-90.0, 180.0], [90.0, 180.0], [90.0, -180.0]])], "id long, ring array<array<double>>")
+    expected = {(k, 1) for k in range(20) if any(inside(-1.9 + 0.2 * k, -180.0 + 0.1 * k + t, ring) for t in (0, 360))} | {(k, 2) for k in range(20)}
+    for sent in (100_000, 0):
+        assert {(r["point_id"], r["region_id"]) for r in nearby.containing_regions(points, regions, sent).collect()} == expected

@@ -2,13 +2,16 @@
 
 Near points: latitude is cut into strips a little higher than the radius. A point belongs to its own strip and
 is also shown to the strip below, so every close pair meets in exactly one strip, that of its lower point.
-Strips are cut into blocks of longitude in the same way (own block, and shown to the block to the west), and a
-block that holds very many points is cut into parts, each of which owns some of the points and sees all.
+Strips are cut into blocks of longitude in the same way (own block, and shown to the block to the west). A
+block that holds very many points is cut again, into blocks about two radii wide, so its points are copied once or twice whatever their number. What
+is still crowded there is no larger than a few squares whose points are all near each other, so its pairs grow with the square of its points anyway; it is cut into parts, each of
+which owns some of the points and sees all, which copies one point for some thousand pairs that come out.
 Within a block the points are sorted by longitude and swept: a window of longitudes moves along, what has left
 it is forgotten, and each pair in it has its distance computed.
 
-Regions: a ray is cast from the point along its parallel. Few corners are sent to the points; many are cut
-into the strips of latitude that their edges cross, and joined with the points of the strip.
+Regions: a ray is cast from the point along its parallel. Few corners are sent to the points. With many, points meet regions in cells
+of both axes, of a size that fits the region, so that a region stands in four cells at most; then each pair meets those edges of its region that cross
+the point's strip of latitude.
 """
 
 from __future__ import annotations
@@ -21,12 +24,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.geo import EARTH_KM
+from ..session import cut
 
 #: A block is cut into parts so that none owns more points than about this.
 BLOCK_POINTS = 20_000
 #: Corners of regions that may be sent to all tasks.
 SENT_CORNERS = 100_000
 _STRIP_DEGREES = 0.5
+#: Numbers of finer blocks within a block.
+_SUB_BLOCKS = 1 << 40
+#: Pairs of points and corners that are looked at at once.
+_AT_ONCE = 2_000_000
 
 
 def _haversine(lat1, lon1, lat2, lon2):
@@ -115,9 +123,16 @@ def near_pairs(points: DataFrame, km: float) -> DataFrame:
     spots = spots.filter(F.col("block") <= last)
     in_block = (F.col("block") == F.col("home")) & (F.col("turn") == 0)
     spots = spots.withColumn("mine", (F.col("strip") == F.col("home_strip")).cast("int") + 2 * in_block.cast("int"))
-    cells = spots.groupBy("strip", "block").agg(F.count("*").alias("held")).filter(F.col("held") > BLOCK_POINTS)
-    hot = cells.select("strip", "block", F.ceil(F.col("held") / BLOCK_POINTS).cast("int").alias("parts"))
-    spots = spots.join(hot, ["strip", "block"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    # Crowded blocks are cut finer: two times the longest reach within the strip, which holds points of the strip above, too.
+    hot = spots.groupBy("strip", "block").agg(F.count("*").alias("held"), F.max("reach").alias("far")).filter(F.col("held") > BLOCK_POINTS)
+    spots = spots.join(hot.select("strip", "block", (2 * F.col("far")).alias("fine")), ["strip", "block"], "left").withColumn("fine", F.least(F.coalesce("fine", F.lit(wide)), F.lit(wide)))
+    within, most = F.col("x") - F.col("block") * wide, F.floor((wide - 1e-9) / F.col("fine"))
+    spots = spots.withColumn("lies", F.least(F.floor(within / F.col("fine")), most)).withColumn("from", F.greatest(F.lit(0).cast("long"), F.floor((within - F.col("reach")) / F.col("fine"))))
+    spots = spots.withColumn("sub", F.explode(F.sequence(F.least("from", "lies"), "lies")))
+    spots = spots.withColumn("mine", F.when(F.col("sub") == F.col("lies"), F.col("mine")).otherwise(F.col("mine").bitwiseAND(F.lit(1))))
+    spots = spots.withColumn("block", F.col("block") * _SUB_BLOCKS + F.col("sub")).drop("home", "home_strip", "fine", "lies", "from", "sub")
+    crowded = spots.groupBy("strip", "block").agg(F.count("*").alias("held")).filter(F.col("held") > BLOCK_POINTS)
+    spots = spots.join(crowded.select("strip", "block", F.ceil(F.col("held") / BLOCK_POINTS).cast("int").alias("parts")), ["strip", "block"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     spots = spots.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     spots = spots.withColumn("owner", (F.pmod(F.xxhash64("lat", "px"), F.col("parts")) == F.col("part")).cast("int"))
     swept = (
@@ -144,6 +159,9 @@ def _corners(regions: DataFrame) -> DataFrame:
     return edges.select("region", F.col("p")[0].alias("lat1"), F.col("p")[1].alias("lon1"), after[0].alias("lat2"), after[1].alias("lon2"))
 
 
+_TURNS = (-360.0, 0.0, 360.0)
+
+
 def _inside(edges):
     """Points of batches against all regions: an odd number of edges lies to the east of a point that is inside.
 
@@ -156,23 +174,31 @@ def _inside(edges):
         ends = np.append(begins[1:], len(e["region"]))
         for batch in batches:
             ident = batch["point_id"].to_numpy()
+            # Places come sorted by latitude.
             places, place = np.unique(batch[["lat", "lon"]].to_numpy(), axis=0, return_inverse=True)
             place = place.reshape(-1)
             lat, lon = places[:, 0], places[:, 1]
             for r, b, t in zip(regions, begins, ends):
                 la, lo, lb, lp = (e[c][b:t] for c in ("lat1", "lon1", "lat2", "lon2"))
-                near = np.nonzero((lat >= min(la.min(), lb.min())) & (lat <= max(la.max(), lb.max())))[0]
+                low, up = np.searchsorted(lat, la.min(), side="left"), np.searchsorted(lat, la.max(), side="right")
+                west, east = lo.min(), lo.max()
+                here = lon[low:up]
+                boxed = np.zeros(len(here), bool)
+                for turn in _TURNS:
+                    boxed |= (here + turn >= west) & (here + turn <= east)
+                near = low + np.nonzero(boxed)[0]
                 if not len(near):
                     continue
-                y = lat[near, None]
-                cross = (la > y) != (lb > y)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    at = lo + (y - la) / (lb - la) * (lp - lo)
-                found = np.zeros(len(near), bool)
-                for turn in (-360.0, 0.0, 360.0):
-                    found |= (cross & (lon[near, None] + turn < at)).sum(axis=1) % 2 == 1
                 hit = np.zeros(len(places), bool)
-                hit[near[found]] = True
+                step = max(1, _AT_ONCE // len(la))
+                for k in range(0, len(near), step):
+                    some = near[k : k + step]
+                    y = lat[some, None]
+                    cross = (la > y) != (lb > y)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        at = lo + (y - la) / (lb - la) * (lp - lo)
+                    for turn in _TURNS:
+                        hit[some] |= (cross & (lon[some, None] + turn < at)).sum(axis=1) % 2 == 1
                 inside = ident[hit[place]]
                 if len(inside):
                     yield pd.DataFrame({"point_id": inside, "region_id": np.full(len(inside), r)})
@@ -186,7 +212,7 @@ def containing_regions(points: DataFrame, regions: DataFrame, sent_corners: int
     ``points`` has id, lat, lon; ``regions`` has id, ring (corners [lat, lon]; either direction; closed or not; longitudes may
     run beyond 180) and unique ids. Edges are straight in degrees; a point on an edge counts as inside for one of the two sides
     only. Points with a null, rings of fewer than three corners and corners with a null are left out. Repeated points count each.
-    Up to ``sent_corners`` corners are sent to all tasks, which then need no shuffle; beyond that the join by strips is used.
+    Up to ``sent_corners`` corners are sent to all tasks, which then need no shuffle; beyond the join by cells is used.
     """
     spark = points.sparkSession
     asked = points.select(F.col("id").cast("long").alias("point_id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
@@ -198,12 +224,21 @@ def containing_regions(points: DataFrame, regions: DataFrame, sent_corners: int
             return asked.filter("false").select("point_id", F.lit(0).cast("long").alias("region_id"))
         sent = spark.sparkContext.broadcast({c: pdf[c].to_numpy() for c in pdf.columns})
         return asked.mapInPandas(_inside(sent), "point_id long, region_id long")
-    places = asked.select("lat", "lon").distinct()
+    box = edges.groupBy("region").agg(F.min("lat1").alias("south"), F.max("lat1").alias("north"), F.min("lon1").alias("west"), F.max("lon1").alias("east"))
+    # A cell is as wide as the region, rounded up to a power of two, so that the region stands in at most four.
+    size = F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west"), F.lit(_STRIP_DEGREES))
+    box = cut(box.withColumn("level", F.ceil(F.log2(size / _STRIP_DEGREES)).cast("int")).withColumn("wide", _STRIP_DEGREES * F.pow(F.lit(2.0), F.col("level"))))
+    levels = [r[0] for r in box.select("level").distinct().collect()]  # few: a level is a power of two of degrees
+    west, east = box.agg(F.min("west"), F.max("east")).first()
+    spans = lambda low, up: F.sequence(F.floor(F.col(low) / F.col("wide")), F.floor(F.col(up) / F.col("wide")))
+    cells = box.withColumn("row", F.explode(spans("south", "north"))).withColumn("column", F.explode(spans("west", "east")))
+    places = asked.select("lat", "lon").distinct().withColumn("turn", F.explode(F.array(*(F.lit(t) for t in _TURNS)))).withColumn("x", F.col("lon") + F.col("turn")).filter(F.col("x").between(west, east))
+    placed = places.withColumn("level", F.explode(F.array(*(F.lit(n) for n in levels)))).withColumn("wide", _STRIP_DEGREES * F.pow(F.lit(2.0), F.col("level")))
+    placed = placed.withColumn("row", F.floor(F.col("lat") / F.col("wide"))).withColumn("column", F.floor(F.col("x") / F.col("wide"))).drop("wide")
+    boxed = placed.join(cells, ["level", "row", "column"]).filter("lat between south and north and x between west and east").select("lat", "lon", "turn", "x", "region")
     low, up = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
     strips = edges.withColumn("strip", F.explode(F.sequence(F.floor(low / _STRIP_DEGREES), F.floor(up / _STRIP_DEGREES))))
-    cast = places.withColumn("strip", F.floor(F.col("lat") / _STRIP_DEGREES))
     at = F.col("lon1") + (F.col("lat") - F.col("lat1")) / (F.col("lat2") - F.col("lat1")) * (F.col("lon2") - F.col("lon1"))
-    met = cast.join(strips, "strip").filter((F.col("lat1") > F.col("lat")) != (F.col("lat2") > F.col("lat")))
-    odd = [F.pmod(F.sum((F.col("lon") + turn < at).cast("int")), F.lit(2)) == 1 for turn in (-360, 0, 360)]
-    held = met.groupBy("lat", "lon", "region").agg((odd[0] | odd[1] | odd[2]).alias("in")).filter("in").drop("in")
-    return asked.join(held, ["lat", "lon"]).select("point_id", F.col("region").alias("region_id"))
+    met = boxed.withColumn("strip", F.floor(F.col("lat") / _STRIP_DEGREES)).join(strips, ["region", "strip"]).filter((F.col("lat1") > F.col("lat")) != (F.col("lat2") > F.col("lat")))
+    odd = met.groupBy("lat", "lon", "turn", "region").agg(F.sum((F.col("x") < at).cast("int")).alias("n")).filter("n % 2 = 1")
+    return asked.join(odd.select("lat", "lon", "region").distinct(), ["lat", "lon"]).select("point_id", F.col("region").alias("region_id"))
