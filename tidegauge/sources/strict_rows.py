@@ -19,6 +19,8 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import BROADCAST_ROWS, cut
+
 COLUMN_COUNT, BROKEN_QUOTE, UNCLOSED_BRACKET, INVALID_VALUE = "column_count", "broken_quote", "unclosed_bracket", "invalid_value"
 
 _ID = re.compile(r"[0-9]+")
@@ -239,8 +241,10 @@ def _diagnose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def failed_rows(lines: DataFrame) -> DataFrame:
     """The lines that load_rows leaves out, with one reason each: line_no, reason.
 
-    line_no must be unique. An empty table gives an empty result; null and empty lines lack their columns.
+    line_no must be unique. Up to BROADCAST_ROWS failed offsets are sent to the lines, more are joined with them. An empty table gives an empty result; null and empty lines lack their columns.
     """
     raw = lines.select(F.col("line_no").cast("long").alias("line_no"), "raw_line").filter("line_no is not null")
-    left = raw.join(load_rows(raw).select("line_no"), "line_no", "left_anti")
-    return left.mapInPandas(_diagnose, "line_no long, reason string")
+    # Only offsets are shuffled; the texts of what is left are fetched from the lines.
+    left = cut(raw.select("line_no").join(load_rows(raw).select("line_no"), "line_no", "left_anti"))
+    few = left.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return raw.join(F.broadcast(left) if few else left, "line_no", "left_semi").mapInPandas(_diagnose, "line_no long, reason string")
