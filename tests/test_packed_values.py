@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from tidegauge.operators.packed_values import automaton, segments, split_names, split_packed, statement_spans, unwrap
+from tidegauge.operators.packed_values import automaton, segments, spans, split_names, split_packed, statement_spans, unwrap
 
 
 def names(text, known=()):
@@ -72,3 +72,7 @@ def test_joined_dictionary_keeps_names_with_brackets(spark):
     rows = spark.createDataFrame([(1, '"Aston (East), Barrow"; Cole'), (2, "Aston (East), Barrow; Dunn")], "id long, field string")
     sent, joined = ({r["id"]: r["items"] for r in split_names(rows, n).collect()} for n in (100, 0))
     assert sent == joined and sent[2] == ["Aston (East), Barrow", "Dunn"]
+
+
+def test_stretches_of_pieces():
+    assert spans("{A, B; C: (1, 2), D}", 2) == {"A, B", "B; C"} and spans("A/B/C", 3) == {"A/B", "B/C", "A/B/C"} and spans("", 3) == spans("A", 3) == set()

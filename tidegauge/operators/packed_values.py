@@ -6,8 +6,8 @@ torn apart. A multi-pattern automaton finds them in a field, and dynamic program
 field that explains it best: a known or quoted value is one piece however many delimiters it holds, a stretch without
 delimiters is a piece, and the cover with the fewest pieces wins, ties going to known values that begin first.
 
-The dictionary grows with the data, so it is sent to all tasks only if it was counted and is small. Otherwise each
-field gets the entries that can occur in it by a join on their first piece, and an automaton of its own.
+The dictionary grows with the data, so it is sent to all tasks only if it was counted and is small. Otherwise the stretches of pieces of
+each field are joined with the entries by equality, and each field has an automaton of those that it holds.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import BROADCAST_ROWS
+from ..session import BROADCAST_ROWS, cut
 
 _DELIMITERS = ",;|/\n\r\t"
 _SPLIT = re.compile(r"[,;|/\n\r\t]+")
@@ -176,14 +176,24 @@ def statement_spans(text: str | None) -> list[tuple[str, str]]:
 
 
 def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Known whole values that hold a delimiter. Only quotes keep a delimiter from cutting, so only quoted values are looked at."""
+    seen: set[str] = set()
     for batch in batches:
-        known = {v for text in batch["field"] for v, sure in segments(text, None) if sure and _SPLIT.search(v)}
-        yield pd.DataFrame({"value": list(known), "first": [_SPLIT.split(v, maxsplit=1)[0].strip() for v in known]})
+        known = set()
+        for text in batch["field"]:
+            if "'" in text or '"' in text:
+                text = unwrap(text)
+                known.update(v for v in (bare(text[a:b]) for a, b in _quoted(text)) if _SPLIT.search(v))
+        known -= seen
+        if len(seen) < BROADCAST_ROWS:
+            seen |= known
+        if known:
+            yield pd.DataFrame({"value": list(known)})
 
 
 def learn_values(fields: DataFrame) -> DataFrame:
-    """The dictionary: known whole values that hold a delimiter, with their first piece. ``fields`` has the column field."""
-    return fields.select("field").filter("field is not null").distinct().mapInPandas(_learn, "value string, first string").distinct()
+    """The dictionary: known whole values that hold a delimiter. ``fields`` has the column field; no field is shuffled."""
+    return fields.select("field").filter("field is not null").mapInPandas(_learn, "value string").distinct()
 
 
 def _cut_all(shared):
@@ -198,26 +208,50 @@ def _cut_all(shared):
 def _cut_own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         items = [[v for v, _ in segments(t, automaton(list(own)) if own is not None and len(own) else None)] for t, own in zip(batch["field"], batch["known"])]
-        yield batch.drop(columns=["field", "known"]).assign(items=items)
+        yield batch[["id"]].assign(items=items)
+
+
+def spans(text: str, most: int) -> set[str]:
+    """All stretches of two to ``most`` pieces of the field that might be one value: coordinates end a stretch."""
+    found = set()
+    text = _COORDS.sub("\0", unwrap(text))
+    ends = [(m.start(), m.end()) for m in _SPLIT.finditer(text)] + [(len(text), len(text))]
+    begin = 0
+    for k, (_, after) in enumerate(ends):
+        for stop, _ in ends[k + 1 : k + most]:
+            whole = text[begin:stop].strip(" ")
+            if "\0" in whole[:-1]:
+                break
+            found.add(whole.rstrip("\0").strip(" "))
+        begin = after
+    return found
+
+
+def _spans(most: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, v) for k, text in zip(batch["row"], batch["field"]) for v in spans(text, most)]
+            if rows:
+                yield pd.DataFrame(rows, columns=["row", "value"])
+
+    return run
 
 
 def split_names(rows: DataFrame, sent_values: int = BROADCAST_ROWS) -> DataFrame:
     """Each row of ``rows`` (id: an integer, field) with the values of its field in written order: id, items.
 
     Null fields give no row, empty fields and values no item. The dictionary is learnt from the same fields; with up to
-    ``sent_values`` entries it is sent to all tasks, beyond that the entries are joined to the distinct fields.
+    ``sent_values`` entries it is sent to all tasks, beyond that each field gets the entries that equal one of its stretches of pieces.
     """
     rows = rows.select(F.col("id").cast("long").alias("id"), "field").filter("id is not null and field is not null")
-    known = learn_values(rows)
+    known = cut(learn_values(rows))
     if known.limit(sent_values + 1).count() <= sent_values:
-        sent = rows.sparkSession.sparkContext.broadcast(sorted(r[0] for r in known.select("value").toLocalIterator()))
+        sent = rows.sparkSession.sparkContext.broadcast(sorted(r[0] for r in known.toLocalIterator()))
         return rows.mapInPandas(_cut_all(sent), "id long, items array<string>")
-    ends = r"^[\s\[\]{}(]+|[\s\]})]+$"
-    first = F.array_distinct(F.transform(F.split("field", _SPLIT.pattern), lambda p: F.regexp_replace(p, ends, "")))
-    pieces = rows.select("field").distinct().withColumn("first", F.explode(first))
-    known = known.withColumn("first", F.regexp_replace("first", ends, ""))  # as the pieces are, or names in brackets meet none
-    own = pieces.join(known, "first").groupBy("field").agg(F.collect_set("value").alias("known"))
-    return rows.join(own, "field", "left").select("id", "field", "known").mapInPandas(_cut_own, "id long, items array<string>")
+    most = 1 + known.agg(F.max(F.size(F.regexp_extract_all("value", F.lit(f"({_SPLIT.pattern})"), F.lit(1))))).first()[0]
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    own = rows.select("row", "field").mapInPandas(_spans(most), "row long, value string").join(known, "value").groupBy("row").agg(F.collect_set("value").alias("known"))
+    return rows.join(own, "row", "left").select("id", "field", "known").mapInPandas(_cut_own, "id long, items array<string>")
 
 
 def _dates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
