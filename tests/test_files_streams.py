@@ -96,3 +96,47 @@ def test_links_as_a_stream(spark, tmp_path):
 def test_late_events(spark):
     df = spark.sql("select timestamp'2020-01-01 00:01:00' as ts, 'a' as k union all select timestamp'2020-01-01 00:04:00', 'a' union all select timestamp'2020-01-01 00:06:00', 'a'")
     assert sorted(r["n"] for r in links.late_counts(df, "ts", "k").collect()) == [1, 2]
+
+
+def test_services_over_http(spark):
+    import http.server
+    import json
+    import threading
+
+    from tidegauge.operators import parsing
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def answer(self, text, status=200):
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(text.encode())
+
+        def do_GET(self):
+            if self.path.startswith("/page"):
+                self.answer("<title>T</title><p>caf\u00e9 &amp; bar")
+            elif self.path.startswith("/search"):
+                self.answer(json.dumps([{"url": f"http://x/{k}"} for k in range(9)]))
+            elif self.path.startswith("/place/Elm%20Fork"):
+                self.answer('[{"lat": "1.5", "lon": "2"}]')
+            else:
+                self.answer("no such page", 404)
+
+        def do_POST(self):
+            said = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self.answer(json.dumps({"out": [{"text": said["prompt"].upper() + said["model"]}]}))
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        pages = connectors.ask(spark.createDataFrame([(f"{base}/page",), (f"{base}/none",)], "k string"), "k", connectors.Pages, wait=0.0)
+        assert {r["k"][-4:]: r["h"] and r["h"]["content"] for r in pages.select("k", parsing.html_parts(F.col("response")).alias("h")).collect()} == {"page": "caf\u00e9 & bar", "none": None}
+        assert json.loads(connectors.Search(base + "/search?q={query}").call("a b")) == [f"http://x/{k}" for k in range(5)]
+        places = connectors.ask(spark.createDataFrame([("Elm Fork",), ("Oak",)], "k string"), "k", lambda: connectors.Geocoder(base + "/place/{query}"), wait=0.0)
+        assert [(r["k"], r["lat"]) for r in connectors.geocoded(places).collect()] == [("Elm Fork", 1.5)]
+        assert connectors.Model(base, {"model": "!"}, ("out", 0, "text")).call("hi") == "HI!"
+    finally:
+        server.shutdown()

@@ -6,7 +6,7 @@ import re
 import pytest
 
 from tests.oracle import FOLDER
-from tidegauge.plans import problems, reference, registry  # noqa: F401
+from tidegauge.plans import problems, reference, registry, storage  # noqa: F401
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
 

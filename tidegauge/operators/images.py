@@ -3,25 +3,26 @@
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+_GAP = rb"(?:\s|#[^\n]*\n)+"
+_PIXMAP = re.compile(rb"(P[56])" + _GAP + rb"(\d+)" + _GAP + rb"(\d+)" + _GAP + rb"(\d+)\s")
 DARK, BRIGHT, KINDS, ZEROS = 25, 240, 3, 0.05 * 512 * 512
 
 
 def decode(content: bytes) -> np.ndarray | None:
     """Pixels of an image: portable pixmaps and saved arrays here, other formats where an imaging library is installed; None if unreadable."""
     try:
-        if content[:2] in (b"P5", b"P6"):
-            head = content.split(maxsplit=4) if b"#" not in content[:64] else None
-            if head is None:
-                return None
-            width, height, top = int(head[1]), int(head[2]), int(head[3])
-            n = width * height * (3 if head[0] == b"P6" else 1)
-            pixels = np.frombuffer(content[-n:], np.uint8)
+        head = _PIXMAP.match(content)
+        if head:
+            width, height, top = (int(head[k]) for k in (2, 3, 4))
+            n = width * height * (3 if head[1] == b"P6" else 1)
+            pixels = np.frombuffer(content[head.end() :], np.uint8)
             return pixels.reshape(height, width, -1) if top < 256 and len(pixels) == n else None
         if content[:6] == b"\x93NUMPY":
             return np.load(io.BytesIO(content), allow_pickle=False)
@@ -69,3 +70,18 @@ def download_choice(mean, tried: bool = False):
     """What to do with a download of a mean brightness: try again if dark (once), drop if bright, else keep."""
     again = F.lit("keep") if tried else F.lit("retry")
     return F.when(mean > 200, "drop").when(mean < 30, again).otherwise("keep")
+
+
+def clear_sky(quality: Column) -> Column:
+    """Whether bits 10 (clouds) and 11 (cirrus) of a quality value are both zero."""
+    return (quality.bitwiseAND(F.lit(1 << 10)) == 0) & (quality.bitwiseAND(F.lit(1 << 11)) == 0)
+
+
+def reflectance(value: Column, quality: Column) -> Column:
+    """The value over 10,000 where the sky is clear, else null."""
+    return F.when(clear_sky(quality), value / 10000)
+
+
+def two_valued(value: Column) -> Column:
+    """A mask pixel: 255 for anything but zero."""
+    return F.when(value != 0, 255).otherwise(value)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed import EVENT_TYPES, GENERIC_OPTIONS, NO_DATE_OPTION, TEMPLATES
@@ -97,3 +99,9 @@ def event_sequence(rows: DataFrame, key: str, events: str = "events", seed: int
     able = able.withColumn("_right", told(F.col("_s"))).withColumn("_pool", F.array(F.col("_right"), *(shuffled(k) for k in range(3))))
     question = _fill(_template("event_sequence", key, seed), event_type=F.col("event_type"), dates=F.array_join(_dates(events), ", "))
     return _question(able, key, "event_sequence", question, F.col("_right"), F.col("_pool"), F.concat(F.lit("The correct sequence of events is: "), F.col("_right")), seed)
+
+
+def templated(rows: DataFrame, key: str, generators, seed: int = SEED) -> DataFrame:
+    """The questions of all ``generators`` about ``rows``, with k, the place of the generator."""
+    parts = [make(rows, key, seed=seed).withColumn("k", F.lit(k)) for k, make in enumerate(generators)]
+    return reduce(DataFrame.unionByName, parts)

@@ -157,3 +157,14 @@ def report(row: dict[str, float]) -> str:
     lines += ["Table Row (tab-separated):", "\t".join(f"{v:.2f}" for v in row.values()), "", "Markdown Table:"]
     lines += ["| " + " | ".join(title(n) for n in row) + " |", "|" + "|".join("-------" for _ in row) + "|", "| " + " | ".join(f"{v:.2f}" for v in row.values()) + " |"]
     return "\n".join(lines) + "\n"
+
+
+def reports(means: DataFrame, key: str, names) -> DataFrame:
+    """The report of each row of averages: key, report."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [report(dict(zip(names, values))) for values in zip(*(batch[n] for n in names))]
+            yield pd.DataFrame({key: batch[key], "report": pd.Series(texts, dtype="object", index=batch.index)})
+
+    return means.select(F.col(key).cast("string").alias(key), *names).mapInPandas(run, f"`{key}` string, report string")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed, geo
 from ..functions.text import one_line
-from ..operators import events, links, ordered, parsing, places, questions, records, scores
+from ..operators import events, images, links, ordered, parsing, places, questions, records, scores
 from ..sources.tables import table
 from .registry import QUERIES, SQL
 
@@ -198,25 +198,45 @@ def cloud_bit_mask(spark: SparkSession, folder: str) -> DataFrame:
     """Quality bits 10 and 11 must both be zero; clear values are scaled, masks are made of two values."""
     rows = table(spark, folder, "lineitem", "l_returnflag", "l_orderkey", "l_extendedprice", "l_linenumber")
     qa = F.pmod("l_orderkey", F.lit(4096))
-    clear = (qa.bitwiseAND(F.lit(1 << 10)) == 0) & (qa.bitwiseAND(F.lit(1 << 11)) == 0)
-    mask = F.when(F.col("l_linenumber") % 3 != 0, 255).otherwise(0)
-    value = F.when(clear, F.col("l_extendedprice") / 10000).otherwise(0)
-    return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(clear).alias("clear"), F.round(F.sum(value), 4).alias("reflectance"), F.sum(mask).alias("mask"))
+    mask, value = images.two_valued(F.col("l_linenumber") % 3), F.coalesce(images.reflectance(F.col("l_extendedprice"), qa), F.lit(0.0))
+    return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(images.clear_sky(qa)).alias("clear"), F.round(F.sum(value), 4).alias("reflectance"), F.sum(mask).cast("long").alias("mask"))
+
+
+_PX = "list_transform(embedding, lambda x: (floor(abs(x::double) * 1000)::int % 256))"
+
+
+def _pictures(spark: SparkSession, folder: str) -> DataFrame:
+    """Images of 8 x 8 pixels made of the embeddings, as portable graymaps: some dark, some masks, some taken before, some that can't be read, some folders with one file."""
+    pixels = F.transform("embedding", lambda x: F.pmod(F.floor(F.abs(x.cast("double")) * 1000).cast("int"), F.lit(256)))
+    pixels = F.when(F.col("vec_id") % 5 == 0, F.transform(pixels, lambda x: (x % 20).cast("int"))).otherwise(pixels)
+    digits = F.array_join(F.transform(pixels, lambda x: F.lpad(F.hex(x), 2, "0")), "")
+    kind = F.element_at(F.array(*(F.lit(k) for k in ("", "cloud_", "before_", ""))), (F.col("vec_id") % 4 + 1).cast("int"))
+    name = F.concat(kind, F.col("vec_id").cast("string"), F.when(F.col("vec_id") % 7 == 0, ".txt").otherwise(".pgm"))
+    event = F.when(F.col("vec_id") % 11 == 0, F.concat(F.lit("s"), F.col("vec_id").cast("string"))).otherwise(F.floor(F.col("vec_id") / 10).cast("string"))
+    rows = table(spark, folder, "embeddings", "vec_id", "embedding").select(event.alias("folder"), name.alias("name"), F.concat(F.when(F.col("vec_id") % 13 == 0, F.lit("P9")).otherwise("P5").cast("binary"), F.lit(" 8 8 255\n").cast("binary"), F.unhex(digits)).alias("content"))
+    return rows.select(F.concat("folder", F.lit("/"), "name").alias("path"), "folder", "name", "content")
+
+
+_PICTURES_SQL = f"""p as (select vec_id, case when vec_id % 11 = 0 then 's' || vec_id else (vec_id // 10)::varchar end as folder, ['', 'cloud_', 'before_', ''][vec_id % 4 + 1] || vec_id || case when vec_id % 7 = 0 then '.txt' else '.pgm' end as name,
+  case when vec_id % 13 <> 0 then case when vec_id % 5 = 0 then list_transform({_PX}, lambda x: x % 20) else {_PX} end end as px from embeddings),
+s as (select folder, name, list_avg(px) as mean, list_unique(px)::bigint as kinds, case when px is not null then len(list_filter(px, lambda x: x = 0)) end as zeros, count(*) over (partition by folder) as files from p)"""
 
 
 @query(
-    """with p as (select vec_id, list_transform(embedding, lambda x: (floor(abs(x::double) * 1000)::int % 256)) as px from embeddings),
-s as (select vec_id, list_avg(px) as mean, list_unique(px)::int as kinds, len(list_filter(px, lambda x: x = 0))::int as zeros from p)
-select vec_id, round(mean, 6) as mean, kinds, zeros, mean between 25 and 240 and kinds >= 3 and zeros <= 13107.2 as valid from s"""
+    f"""with {_PICTURES_SQL} select folder, name, round(mean, 6) as mean, kinds, zeros,
+  files > 1 and (name not like '%.pgm' or contains(name, 'cloud') or (coalesce(mean between 25 and 240 and kinds >= 3 and zeros <= 13107.2, false) and not contains(name, 'before'))) as keep from s"""
 )
 def array_validity_stats(spark: SparkSession, folder: str) -> DataFrame:
-    """The rules for valid images on arrays of values: not too dark or bright, three values or more, few zeros."""
-    pixels = F.transform("embedding", lambda x: F.pmod(F.floor(F.abs(x.cast("double")) * 1000).cast("int"), F.lit(256)))
-    rows = table(spark, folder, "embeddings", "vec_id", "embedding").withColumn("px", pixels)
-    mean = F.aggregate("px", F.lit(0).cast("long"), lambda a, x: a + x) / F.size("px")
-    rows = rows.select("vec_id", mean.alias("m"), F.size(F.array_distinct("px")).alias("kinds"), F.size(F.filter("px", lambda x: x == 0)).alias("zeros"))
-    valid = F.col("m").between(25, 240) & (F.col("kinds") >= 3) & (F.col("zeros") <= 0.05 * 512 * 512)
-    return rows.select("vec_id", F.round("m", 6).alias("mean"), "kinds", "zeros", valid.alias("valid"))
+    """Statistics of images and which are kept: not too dark or bright, three values or more, few zeros, not alone in the folder, not from before."""
+    kept = images.kept_images(images.image_statistics(_pictures(spark, folder)))
+    return kept.select("folder", "name", F.round("mean", 6).alias("mean"), "kinds", "zeros", "keep")
+
+
+@query(f"with {_PICTURES_SQL} select folder, name, case when mean > 200 then 'drop' when mean < 30 then 'retry' else 'keep' end as first_try, case when mean > 200 then 'drop' else 'keep' end as second_try from s")
+def download_choices(spark: SparkSession, folder: str) -> DataFrame:
+    """What to do with each download by its brightness; an image that can't be read is left as it is."""
+    seen = images.image_statistics(_pictures(spark, folder))
+    return seen.select("folder", "name", images.download_choice(F.col("mean")).alias("first_try"), images.download_choice(F.col("mean"), True).alias("second_try"))
 
 
 # --- packed text ------------------------------------------------------------------------------------------------------
@@ -324,9 +344,11 @@ _CASE_TYPE = "case " + " ".join(f"when {_holds('lower(t)', w)} then '{n}'" for n
 _CASE_PHRASE = "case " + " ".join(f"when contains(lower(t), '{p}') then '{p}'" for p in fixed.EVENT_PHRASES) + f" else coalesce(nullif(regexp_extract(t, '{fixed.DESCRIPTION}', 1), ''), 'event') end"
 
 
-@query(f"select row_id, {_CASE_TYPE} as keyword_type, {_CASE_PHRASE} as description from (select row_id, {_FLAT} as t from consolidated where statements is not null)")
+@query(f"with {_EV} select row_id, {_CASE_TYPE} as keyword_type, {_CASE_PHRASE} as description from (select row_id, string_agg(event, ' ' order by pos) as t from ev group by row_id)")
 def event_keyword_class(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "consolidated", "row_id", "statements").filter("statements is not null").select("row_id", one_line(F.col("statements")).alias("t"))
+    """What the events of a row are, by the words of their joined texts; statements that report nothing are no events."""
+    told = F.array_join(F.transform("events", lambda e: e["event"]), " ")
+    rows = _events(spark, folder).filter(F.size("events") > 0).select("row_id", told.alias("t"))
     return rows.select("row_id", events.keyword_type(F.col("t")).alias("keyword_type"), events.description(F.col("t")).alias("description"))
 
 
@@ -594,6 +616,24 @@ def qa_record_build(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_SPLIT = "sp as (select row_id, case when row_number() over (order by row_id) - 1 < floor(0.8 * count(*) over ()) then 'train' else 'test' end as split from (select row_id from consolidated where statements is not null and event_id is not null))"
+
+
+@query(
+    f"""with a as (select 0 as k, * from ({SQL["mcq_temporal"]}) union all by name select 1 as k, * from ({SQL["mcq_event_type"]}) union all by name select 2 as k, * from ({SQL["mcq_sequence"]})), {_SPLIT}, shown as (with {_IM} select distinct folder_id from im)
+select split, (row_number() over (partition by split order by a.row_id, k) - 1)::bigint as id, a.row_id, a.task, a.question, a.options, a.label, a.explanation
+from a join sp using (row_id) join consolidated c using (row_id) where c.event_id in (select folder_id from shown)"""
+)
+def templated_dataset(spark: SparkSession, folder: str) -> DataFrame:
+    """All templated questions of the rows that have images, for both splits by position; ids begin anew in each split."""
+    rows = _events(spark, folder).filter("event_id is not null")
+    asked = questions.templated(rows, "row_id", [questions.temporal_grounding, questions.event_type, questions.event_sequence])
+    shown = rows.join(_files(spark, folder).select(F.col("event").alias("event_id")).distinct(), "event_id", "left_semi").select("row_id")
+    split = records.positional_split(rows.select("row_id"), "row_id").select("row_id", "split").join(shown, "row_id", "left_semi")
+    numbered = ordered.within(asked.join(split, "row_id"), "split", "row_id", "k", name="id")
+    return _flat(numbered).select("split", "id", "row_id", "task", "question", "options", "label", "explanation")
+
+
 # --- model responses --------------------------------------------------------------------------------------------------
 
 # A response of a model, made of a record with options: its question three times, with the third missing in some and the first broken in some.
@@ -741,10 +781,20 @@ def mcnemar_table(spark: SparkSession, folder: str) -> DataFrame:
     return tested.select("model_1", "model_2", "n", "b", "c", F.round("chi2", 6).alias("chi2"))
 
 
-@query()
+# The tail of the normal distribution by Simpson's rule, and the two-sided binomial test.
+_TAIL = "2 / sqrt(pi()) * list_sum(list_transform(range(0, 4001), lambda k: (case when k = 0 or k = 4000 then 1 when k % 2 = 1 then 4 else 2 end) * exp(0 - (z + k * 0.0025) * (z + k * 0.0025)))) * 0.0025 / 3"
+_EXACT = "least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda k: (factorial((b + c)::int) / (factorial(k::int) * factorial((b + c - k)::int)))::double)) / 2::double ** (b + c))"
+
+
+@query(
+    f"""with {_TABLE}, x as (select *, case when b + c >= 20 then (abs(b - c) - 1) ** 2 / (b + c)::double end as chi2 from ct), z as (select *, sqrt(chi2 / 2) as z from x),
+p as (select *, case when b + c = 0 then 1 when b + c < 20 then {_EXACT} else {_TAIL} end as p from z)
+select model_1, model_2, n, b, c, round(chi2, 6) as chi2, round(p, 6) as p_value, case when p < 0.001 then 'p < 0.001' when p < 0.01 then 'p < 0.01' when p < 0.05 then 'p < 0.05' else 'p > 0.05' end as significance from p"""
+)
 def mcnemar_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """McNemar's test of all pairs of models, with p-values and their label."""
-    return scores.mcnemar(scores.contingency(_choices_once(spark, folder)))
+    tested = scores.mcnemar(scores.contingency(_choices_once(spark, folder)))
+    return tested.select("model_1", "model_2", "n", "b", "c", F.round("chi2", 6).alias("chi2"), F.round("p_value", 6).alias("p_value"), "significance")
 
 
 _JUDGED = " || chr(10) || ".join(f"'{said}: ' || case when ans_id % {k + 11} = 0 then '4.5' else ((ans_id * {k + 1}) % 6)::varchar end || '/5'" for k, said in enumerate(fixed.CRITERIA.values()))
@@ -792,3 +842,31 @@ def text_scores(spark: SparkSession, folder: str) -> DataFrame:
 def text_score_averages(spark: SparkSession, folder: str) -> DataFrame:
     models = table(spark, folder, "answers", "ans_id", "model_name", "task")
     return scores.averages(text_scores(spark, folder).join(models, "ans_id"), scores.METRICS, "model_name", "task")
+
+
+_GRAMS = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')"
+
+
+@query(
+    f"""with t as (select ans_id, {_GRAMS.format("predicted")} as p, {_GRAMS.format("ground_truth")} as g from answers),
+a as (select ans_id, w, count(*) as n from (select ans_id, unnest(p) as w from t) group by all), b as (select ans_id, w, count(*) as n from (select ans_id, unnest(g) as w from t) group by all),
+m as (select ans_id, sum(least(a.n, b.n)) as common from a join b using (ans_id, w) group by ans_id)
+select ans_id, round(case when common is null then 0 else common / len(p)::double * case when len(p) > len(g) then 1 else exp(1 - len(g) / len(p)::double) end end, 9) as bleu_1 from t left join m using (ans_id)"""
+)
+def bleu_1_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Unigram precision with its brevity penalty."""
+    return text_scores(spark, folder).select("ans_id", F.round("bleu_1", 9).alias("bleu_1"))
+
+
+_TITLES = [n.replace("_", " ").title() for n in fixed.CRITERIA]
+_SHOWN_MEANS = ", ".join(f"format('{{:.2f}}', {n}) as {n}" for n in fixed.CRITERIA)
+_REPORT = " || chr(10) || ".join(
+    ["'EVALUATION RESULTS'", "repeat('=', 50)", "''", "'Average Scores (0-5 scale):'", *(f"'{t}: ' || {n}" for t, n in zip(_TITLES, fixed.CRITERIA)), "''", "'Table Row (tab-separated):'", "concat_ws(chr(9), " + ", ".join(fixed.CRITERIA) + ")", "''", "'Markdown Table:'",
+     "'| " + " | ".join(_TITLES) + " |'", "'|" + "|".join("-------" for _ in _TITLES) + "|'", "'| ' || concat_ws(' | ', " + ", ".join(fixed.CRITERIA) + ") || ' |'", "''"]
+)
+
+
+@query(f"select model_name, {_REPORT} as report from (select model_name, {_SHOWN_MEANS} from ({SQL['judge_averages']}))")
+def judge_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """The averages of each model as a report."""
+    return scores.reports(judge_averages(spark, folder), "model_name", list(fixed.CRITERIA))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import tempfile
+import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,13 +37,12 @@ def build(app: str = "tidegauge", master: str | None = None, partitions: int | N
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with checkpoint() in the folder named by spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, named by spark.checkpoint.dir; checkpoints stand below it.
 
-    That folder is shared by all executors, so what was cut survives the loss of any of them. Only a session on one
-    machine, as in tests, may lack the setting and gets a folder of its own; on a cluster its absence is an error.
+    Only a session on one machine, as in tests, may lack the setting and gets a folder of its own; on a cluster its absence is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         if named is None:
@@ -48,9 +50,26 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             named = tempfile.mkdtemp(prefix="tidegauge-")
         context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with checkpoint() in the shared folder, so that what was cut survives the loss of any executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A path in the shared folder that is removed at the end; what was read from it must have been cut by then."""
+    path = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def slots(spark: SparkSession) -> int:
     """The number of partitions that a shuffle made by hand gets."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

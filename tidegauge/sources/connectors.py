@@ -7,7 +7,11 @@ table stands in for a service.
 
 from __future__ import annotations
 
+import json
 import time
+import urllib.error
+import urllib.parse
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -51,6 +55,61 @@ def ask(rows: DataFrame, key: str, factory: Callable[[], Service], name: str = "
     return rows.join(asked, F.col(key).cast("string") == F.col("_key"), "left").drop("_key")
 
 
+def _get(url: str, timeout: float, data: bytes | None = None, headers: dict[str, str] | None = None) -> tuple[int, str]:
+    request = urllib.request.Request(url, data=data, headers={"User-Agent": "tidegauge", **(headers or {})})
+    with urllib.request.urlopen(request, timeout=timeout) as got:  # noqa: S310 addresses come from the caller
+        return got.status, got.read().decode(got.headers.get_content_charset() or "utf-8", "replace")
+
+
+class Pages:
+    """Pages by address: the body of a page with status 200, nothing otherwise; ``parsing.html_parts`` reads it."""
+
+    def __init__(self, timeout: float = 30.0) -> None:
+        self.timeout = timeout
+
+    def call(self, key: str) -> str | None:
+        try:
+            status, body = _get(key, self.timeout)
+        except urllib.error.HTTPError:
+            return None  # an answer, so it isn't asked again
+        return body if status == 200 else None
+
+
+class Search:
+    """The first ``most`` addresses of a search service that gives a JSON array of addresses, or of objects with ``field``; the answer is a JSON array."""
+
+    def __init__(self, address: str, most: int = 5, field: str = "url", timeout: float = 30.0) -> None:
+        self.address, self.most, self.field, self.timeout = address, most, field, timeout
+
+    def call(self, key: str) -> str | None:
+        found = json.loads(_get(self.address.replace("{query}", urllib.parse.quote(key)), self.timeout)[1])
+        return json.dumps([r if isinstance(r, str) else r[self.field] for r in found][: self.most])
+
+
+class Geocoder:
+    """The JSON array of hits that a geocoder gives for a name; ``geocoded`` takes the first."""
+
+    def __init__(self, address: str, timeout: float = 30.0) -> None:
+        self.address, self.timeout = address, timeout
+
+    def call(self, key: str) -> str | None:
+        return _get(self.address.replace("{query}", urllib.parse.quote(key)), self.timeout)[1]
+
+
+class Model:
+    """A language model behind an address that takes a JSON object with the prompt and gives one with the text at ``path``."""
+
+    def __init__(self, address: str, fields: dict | None = None, path: tuple = ("text",), headers: dict[str, str] | None = None, timeout: float = 120.0) -> None:
+        self.address, self.fields, self.path, self.headers, self.timeout = address, fields or {}, path, headers or {}, timeout
+
+    def call(self, key: str) -> str | None:
+        body = json.dumps({**self.fields, "prompt": key}).encode()
+        found = json.loads(_get(self.address, self.timeout, body, {"Content-Type": "application/json", **self.headers})[1])
+        for step in self.path:
+            found = found[step]
+        return found
+
+
 class Lookup:
     """A service that answers from a dictionary; for tests and small tables."""
 

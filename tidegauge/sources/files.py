@@ -6,7 +6,7 @@ job appends a file. Rejected files are never deleted: the choice of files is a t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import one_line
 
@@ -27,15 +27,23 @@ def read_declarations(spark: SparkSession, path: str, schema: str = DECLARATIONS
 
 
 def read_lines(spark: SparkSession, path: str, blank: bool = False) -> DataFrame:
-    """Lines of text with a number that rises in the order of the file: line_no, line. Blank lines are left out unless asked for."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
-    return lines if blank else lines.filter(F.trim("line") != "")
+    """Lines of text with their number from 0 in the order of the files' names and the lines in them: line_no, line. Blank lines count but are left out unless asked for.
+
+    Within a split lines are numbered as they are read; one row per split tells where it starts. No text is shuffled.
+    """
+    split = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.text(path).select(split.alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    splits = lines.groupBy("split").agg(F.min("at").alias("least"), F.count("*").alias("n"))
+    before = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    starts = splits.select(F.col("split").alias("of"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("least")).alias("shift"))
+    rows = lines if blank else lines.filter(F.trim("line") != "")
+    return rows.join(starts, F.col("split") == F.col("of")).select((F.col("at") + F.col("shift")).alias("line_no"), "line")
 
 
 def read_links(spark: SparkSession, path: str) -> DataFrame:
     """Link lines "id,url,": event_id, url; a url with a comma is cut there; lines without a whole number are dropped."""
     parts = F.split("line", ",", -1)
-    rows = read_lines(spark, path).select(F.substring_index("line", ",", 1).try_cast("int").alias("event_id"), F.try_element_at(parts, F.lit(2)).alias("url"))
+    rows = spark.read.text(path).withColumnRenamed("value", "line").select(F.substring_index("line", ",", 1).try_cast("int").alias("event_id"), F.try_element_at(parts, F.lit(2)).alias("url"))
     return rows.filter("event_id is not null and url is not null")
 
 
@@ -60,21 +68,29 @@ def write_records(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").json(path)
 
 
-def read_predictions(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
-    """Predictions from a JSON object keyed by question: qid, predicted, ground_truth, task, and model if named."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", PREDICTION).alias("m"))
+def read_predictions(spark: SparkSession, path: str, model: str | None = None, lines: bool = False) -> DataFrame:
+    """Predictions from a JSON object keyed by question, one per file or with ``lines`` one per line: qid, predicted, ground_truth, task, and model if named."""
+    whole = spark.read.text(path, wholetext=not lines).select(F.from_json("value", PREDICTION).alias("m"))
     rows = whole.select(F.explode("m").alias("qid", "a")).select("qid", "a.predicted", "a.ground_truth", "a.task")
     return rows.withColumn("model_name", F.lit(model)) if model else rows
 
 
-def read_models(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+def write_predictions(rows: DataFrame, path: str, size: int = 1000) -> None:
+    """Predictions (qid unique, predicted, ground_truth, task) as JSON objects keyed by question, one per line, each of about ``size`` questions."""
+    parts = F.greatest(F.lit(1), F.ceil(F.lit(rows.count() / size)))
+    entry = F.struct("qid", F.struct("predicted", "ground_truth", "task").alias("a"))
+    objects = rows.groupBy(F.pmod(F.xxhash64("qid"), parts).alias("_part")).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
+    objects.select(F.to_json("m", {"ignoreNullFields": "false"})).write.mode("overwrite").text(path)
+
+
+def read_models(spark: SparkSession, paths: dict[str, str], lines: bool = False) -> DataFrame:
     """Predictions of several models; files that are missing or can't be read are skipped with a warning."""
     import warnings
 
     found = None
     for model, path in paths.items():
         try:
-            one = read_predictions(spark, path, model)
+            one = read_predictions(spark, path, model, lines)
             one.schema  # resolves the path
         except Exception as e:  # noqa: BLE001
             warnings.warn(f"{model}: {path} is left out ({type(e).__name__})", stacklevel=2)
