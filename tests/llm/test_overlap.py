@@ -78,3 +78,31 @@ def test_set_hash_ignores_order(values, rng):
     rng.shuffle(mixed)
     a, b = (overlap._set_hashes(np.array(v, np.uint64), np.array([len(v)])) for v in (values, mixed))
     assert a[0][0] == b[0][0] and a[1][0] == b[1][0]
+
+
+@pytest.mark.parametrize("seed, cosine", [(5, 0.8), (6, 0.6), (7, 0.9)])
+def test_weighted_against_all_pairs(spark, seed, cosine):
+    import math
+
+    import numpy as np
+    import xxhash
+
+    rows = near_copies(seed)
+    left, right = rows[:80], rows[60:]
+    bucket = {w: xxhash.xxh3_64_intdigest(w) & (overlap.BUCKETS - 1) for _, t in rows for w in words(t)}
+    df = np.zeros(overlap.BUCKETS)
+    for _, t in left + right:
+        for w in set(words(t)):
+            df[bucket[w]] += 1
+    weigh = lambda t: {w: 1 + math.log((len(left) + len(right) + 1) / (df[bucket[w]] + 1)) for w in set(words(t))}
+    expected = {}
+    for i, a in left:
+        for j, b in right:
+            x, y = weigh(a), weigh(b)
+            dot = sum(x[w] * y[w] for w in x.keys() & y.keys()) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+            if dot >= cosine - 1e-9:
+                expected[i, j] = dot
+    frames = [spark.createDataFrame(r, "id long, text string") for r in (left, right)]
+    got = {(r["left_id"], r["right_id"]): r["cosine"] for r in overlap.weighted_overlap(*frames, cosine=cosine).collect()}
+    assert got.keys() == expected.keys() and len(got) > 5 and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+    assert overlap.weighted_overlap(frames[0].limit(0), frames[1]).collect() == []

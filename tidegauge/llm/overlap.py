@@ -1,15 +1,16 @@
 """Problem 2: records of one split that also stand, unchanged or nearly so, in another split.
 
-A weighted cosine join. A record is a vector of its distinct words, each of weight 1/sqrt(n), n being the
-number of words, so the dot product of two records is common / sqrt(n1 * n2). Words are ordered by how rare
-they are over both splits. Three bounds keep the inverted lists short, none of which loses a pair:
-
-* maximum weight: a word that never occurs in the other split adds nothing to any dot product, so it is left
-  out of the lists, and a record whose other words can't reach the bound is left out whole;
-* residual norm: once the words that are still to come can't reach the bound, a word opens no list. The
-  shorter record of a pair meets its partner within a shorter prefix than the longer one; lists are kept
+A weighted cosine join. A record is a vector of its distinct words, each with the word's weight, divided by the vector's length; the dot
+product of two records is their cosine. Weights are one (all words count alike, as the definition of near-equal records has it) or
+idf (1 + log of the records over those with the word). Words are ordered by how rare they are over both splits. Bounds keep
+the inverted lists short, none of which loses a pair:
+
+* maximum weight: each word of a record can add no more than its weight times the largest weight that the word has in any record of the other split, 0 if
+  it never occurs there. Once the words still to come can't reach the bound together, a word opens no list;
+* residual norm: nor does it once the length of what is still to come is below the bound. With equal weights this is a count, and exact for each pair
+  of sizes: the shorter record of a pair meets its partner within a shorter prefix than the longer one; lists are kept
   apart by that, so long prefixes never meet long prefixes;
-* at a meeting in a list, the residuals of both records and a 256-bit sketch of each (bits that differ are at
+* at a meeting in a list, the residuals of both records and, with equal weights, a 256-bit sketch of each (bits that differ are at
   most words that differ) must leave the bound within reach.
 
 What is left gets its exact dot product from the texts. Equal word sets are one class from the start: each
@@ -31,6 +32,8 @@ from ..session import BROADCAST_ROWS, cut
 #: Words are counted in this many buckets: the counts order words and show which are absent from a split;
 #: two words in one bucket make the order less exact and never lose a pair. This bounds what the driver holds.
 BUCKETS = 1 << 20
+#: Words of a record that isn't there.
+NONE = 1 << 40
 #: A list of a word that occurs in more records than this is split among several tasks.
 HOT_RECORDS = 500_000
 #: Words and word sets that one task remembers at a time.
@@ -74,33 +77,61 @@ def _set_hashes(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each record's word set (side 0 or 1), then the task's counts of words (side 2: id is the bucket)."""
-    read, counts = _Reader(), np.zeros((2, BUCKETS), np.int64)
+    """Each record's word set (side 0 or 1), then by bucket of words (id) the task's counts (side 2) and the fewest words of a record that has one (side 3)."""
+    read, counts, least = _Reader(), np.zeros((2, BUCKETS), np.int64), np.full((2, BUCKETS), NONE, np.int64)
     for batch in batches:
         h, sizes = read(batch["text"])
         keep = sizes > 0
         side = batch["side"].to_numpy()
         np_side = np.repeat(side, sizes)
         bucket = (h & np.uint64(BUCKETS - 1)).astype(np.int64)
+        n = np.repeat(sizes, sizes)
         for s in (0, 1):
-            counts[s] += np.bincount(bucket[np_side == s], minlength=BUCKETS)
+            here = bucket[np_side == s]
+            counts[s] += np.bincount(here, minlength=BUCKETS)
+            np.minimum.at(least[s], here, n[np_side == s])
         one, two = _set_hashes(h, sizes[keep])
         yield pd.DataFrame({"side": side[keep].astype(np.int32), "id": batch["id"].to_numpy()[keep], "h1": one, "h2": two})
     used = np.nonzero(counts.sum(axis=0))[0]
     for k in range(0, len(used), 50_000):
         b = used[k : k + 50_000]
-        yield pd.DataFrame({"side": np.full(len(b), 2, np.int32), "id": b, "h1": counts[0][b], "h2": counts[1][b]})
+        for side, of in ((2, counts), (3, least)):
+            yield pd.DataFrame({"side": np.full(len(b), side, np.int32), "id": b, "h1": of[0][b], "h2": of[1][b]})
 
 
-_POSTING = "term long, word_set long, n int, rest int, b0 long, b1 long, b2 long, b3 long"
+class Words:
+    """What is known of all words: by bucket the records of each side that have one, and the fewest words of such a record."""
 
+    def __init__(self, counts: np.ndarray, least: np.ndarray, records: int, idf: bool) -> None:
+        self.counts, self.least, self.records, self.idf = counts, least, records, idf
 
-def _postings(side: int, similarity: float, counts):
-    """Inverted-list entries of one split; side 0 is the left one."""
+    def weight(self, bucket: np.ndarray) -> np.ndarray:
+        """1, or 1 + log of all records over those with the word; never below 1."""
+        return 1 + np.log((self.records + 1) / (self.counts[0][bucket] + self.counts[1][bucket] + 1)) if self.idf else np.ones(len(bucket))
+
+    def most(self, bucket: np.ndarray, side: int, w: np.ndarray) -> np.ndarray:
+        """The largest that the word's part of a vector of ``side`` can be: its record has ``least`` words of weight 1 or more."""
+        return np.where(self.counts[side][bucket] > 0, w / np.sqrt(w * w + np.maximum(0, self.least[side][bucket] - 1)), 0.0)
+
+
+_POSTING = "term long, word_set long, n int, rest double, b0 long, b1 long, b2 long, b3 long"
+
+
+def _suffix(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Sums of what is still to come, the place itself included, in records of ``m`` places each."""
+    if not len(x):
+        return x
+    total = np.cumsum(x)
+    return np.repeat(total[np.cumsum(m) - 1], m) - total + x
+
+
+def _postings(side: int, similarity: float, shared, cosine: float):
+    """Inverted-list entries of one split; side 0 is the left one. With idf weights ``cosine`` bounds the dot product, else the counts that ``similarity`` asks for do, too."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read, seen = _Reader(), set()
-        total, other = counts.value[0] + counts.value[1], counts.value[1 - side]
+        known = shared.value
+        total, other = known.counts[0] + known.counts[1], known.counts[1 - side]
         for batch in batches:
             h, sizes = read(batch["text"])
             if not len(h):
@@ -124,20 +155,32 @@ def _postings(side: int, similarity: float, counts):
             bits[rec, (_mix(h, _M3) & np.uint64(255)).astype(np.int64)] = True
             sketch = np.packbits(bits, axis=1).view(np.int64)
             bucket = (h & np.uint64(BUCKETS - 1)).astype(np.int64)
+            w = known.weight(bucket)
+            v = w / np.sqrt(np.bincount(rec, w * w, minlength=len(n)))[rec]
             there = other[bucket] > 0
-            h, rec, count = h[there], rec[there], total[bucket[there]]
+            h, rec, count, v, most = h[there], rec[there], total[bucket[there]], v[there], known.most(bucket[there], 1 - side, w[there])
             order = np.lexsort((h, count, rec))
-            h, rec, count = h[order], rec[order], count[order]
+            h, rec, count, v, most = h[order], rec[order], count[order], v[order], most[order]
             m = np.bincount(rec, minlength=len(n))
             at = np.arange(len(rec)) - np.repeat(np.cumsum(m) - m, m)
-            longest = m - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
-            shortest = m - np.ceil(2 * similarity / (1 + similarity) * n - 1e-9).astype(np.int64) + 1
-            keep = at < longest[rec]
-            h, rec, count, at = h[keep], rec[keep], count[keep], at[keep]
-            early = at < shortest[rec]
+            m = m[m > 0]
+            norm, best = np.sqrt(np.maximum(0, _suffix(v * v, m))), _suffix(v * most, m)
+            keep = np.minimum(norm, best) >= cosine - 1e-6
+            m = np.bincount(rec, minlength=len(n))
+            early = np.ones(len(rec), bool)
+            rest = norm
+            if not known.idf:
+                # Equal weights: the bounds are exact counts.
+                longest = m - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+                shortest = m - np.ceil(2 * similarity / (1 + similarity) * n - 1e-9).astype(np.int64) + 1
+                keep &= at < longest[rec]
+                early, rest = at < shortest[rec], (m[rec] - at).astype(np.float64)
+            h, rec, count, rest, early = h[keep], rec[keep], count[keep], rest[keep], early[keep]
             # List 0: the left record's early words with all of the right one's; list 1: its late words with early ones.
             if side == 0:
                 pick, which = np.arange(len(h)), np.where(early, 0, 1)
+            elif known.idf:
+                pick, which = np.arange(len(h)), np.zeros(len(h), np.int64)
             else:
                 pick = np.concatenate([np.arange(len(h)), np.nonzero(early)[0]])
                 which = np.concatenate([np.zeros(len(h), np.int64), np.ones(int(early.sum()), np.int64)])
@@ -148,24 +191,33 @@ def _postings(side: int, similarity: float, counts):
                 salt = np.concatenate([np.arange(p) for p in parts]) if parts.max(initial=1) > 1 else np.zeros(len(pick), np.int64)
                 pick, which = np.repeat(pick, parts), np.repeat(which, parts)
             term = _mix(h[pick] + (2 * salt + which).astype(np.uint64) * _M2, _M1)
-            rec, at = rec[pick], at[pick]
+            rec, rest = rec[pick], rest[pick]
             yield pd.DataFrame(
-                {"term": term.view(np.int64), "word_set": one[rec], "n": n[rec].astype(np.int32), "rest": (m[rec] - at).astype(np.int32)}
+                {"term": term.view(np.int64), "word_set": one[rec], "n": n[rec].astype(np.int32), "rest": rest}
                 | {f"b{k}": sketch[rec, k] for k in range(4)}
             )
 
     return run
 
 
-def _exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        common, in_left, in_right = [], [], []
-        for a, b in zip(batch["left_text"], batch["right_text"]):
-            x, y = set(words(a)), set(words(b))
-            common.append(len(x & y))
-            in_left.append(len(x))
-            in_right.append(len(y))
-        yield batch.drop(columns=["left_text", "right_text"]).assign(common=common, in_left=in_left, in_right=in_right)
+def _exact(shared):
+    """Words in common and the exact dot product of each pair of texts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read, known = _Reader(), shared.value
+        for batch in batches:
+            common, in_left, in_right, cosine = [], [], [], []
+            for a, b in zip(batch["left_text"], batch["right_text"]):
+                (x, _), (y, _) = read([a]), read([b])
+                both = np.intersect1d(x, y)
+                common.append(len(both))
+                in_left.append(len(x))
+                in_right.append(len(y))
+                dot, one, two = (float((known.weight((h & np.uint64(BUCKETS - 1)).astype(np.int64)) ** 2).sum()) for h in (both, x, y))
+                cosine.append(dot / np.sqrt(one * two))
+            yield batch.drop(columns=["left_text", "right_text"]).assign(common=common, in_left=in_left, in_right=in_right, cosine=cosine)
+
+    return run
 
 
 def cross_split_overlap(left: DataFrame, right: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -176,25 +228,39 @@ def cross_split_overlap(left: DataFrame, right: DataFrame, similarity: float = 0
     product). Rows without an id and null, empty and wordless texts pair with nothing; repeated texts pair each for itself; an
     empty split gives an empty result.
     """
+    # Equal records of the same size need the cosine 2s / (1 + s); all others need more.
+    return _joined(left, right, similarity, 2 * similarity / (1 + similarity), False)
+
+
+def weighted_overlap(left: DataFrame, right: DataFrame, cosine: float = 0.8) -> DataFrame:
+    """All pairs of a record of ``left`` and one of ``right`` whose vectors of idf weights have a cosine of at least ``cosine``.
+
+    Inputs, results and edge cases are those of ``cross_split_overlap``. Weights come from counts in BUCKETS buckets of word hashes.
+    """
+    return _joined(left, right, None, cosine, True)
+
+
+def _joined(left: DataFrame, right: DataFrame, similarity: float | None, cosine: float, idf: bool) -> DataFrame:
     spark = left.sparkSession
     one, two = (df.select(F.col("id").cast("long").alias("id"), "text").filter("id is not null") for df in (left, right))
     both = one.withColumn("side", F.lit(0)).unionByName(two.withColumn("side", F.lit(1)))
     survey = cut(both.mapInPandas(_survey, "side int, id long, h1 long, h2 long"))
 
-    counted = survey.filter("side = 2").groupBy("id").agg(F.sum("h1").alias("h1"), F.sum("h2").alias("h2")).toPandas()
-    counts = np.zeros((2, BUCKETS), np.int64)
-    counts[0][counted["id"]], counts[1][counted["id"]] = counted["h1"], counted["h2"]
-    shared = spark.sparkContext.broadcast(counts)
+    counted = survey.filter("side > 1").groupBy("side", "id").agg(F.sum("h1").alias("c1"), F.sum("h2").alias("c2"), F.min("h1").alias("n1"), F.min("h2").alias("n2")).toPandas()
+    counts, least = np.zeros((2, BUCKETS), np.int64), np.full((2, BUCKETS), NONE, np.int64)
+    for of, kind, columns in ((counts, 2, ("c1", "c2")), (least, 3, ("n1", "n2"))):
+        rows = counted[counted["side"] == kind]
+        for k in (0, 1):
+            of[k][rows["id"]] = rows[columns[k]]
+    shared = spark.sparkContext.broadcast(Words(counts, least, survey.filter("side < 2").count() if idf else 0, idf))
 
-    lists = [df.select("text").mapInPandas(_postings(k, similarity, shared), _POSTING).alias(a) for k, (df, a) in enumerate(((one, "l"), (two, "r")))]
+    lists = [df.select("text").mapInPandas(_postings(k, similarity, shared, cosine), _POSTING).alias(a) for k, (df, a) in enumerate(((one, "l"), (two, "r")))]
     differ = sum((F.bit_count(F.col(f"l.b{k}").bitwiseXOR(F.col(f"r.b{k}"))) for k in range(1, 4)), F.bit_count(F.col("l.b0").bitwiseXOR(F.col("r.b0"))))
     size = F.col("l.n") + F.col("r.n")
-    met = lists[0].join(
-        lists[1].hint("shuffle_hash"),
-        (F.col("l.term") == F.col("r.term"))
-        & (F.least("l.rest", "r.rest") * (1 + similarity) >= size * similarity - 1e-6)
-        & (differ <= size * ((1 - similarity) / (1 + similarity)) + 1e-6),
-    )
+    reach = F.col("l.rest") * F.col("r.rest") >= cosine - 1e-6
+    if not idf:
+        reach = (F.least("l.rest", "r.rest") * (1 + similarity) >= size * similarity - 1e-6) & (differ <= size * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    met = lists[0].join(lists[1].hint("shuffle_hash"), (F.col("l.term") == F.col("r.term")) & reach)
     near = cut(met.select(F.col("l.word_set").alias("l1"), F.col("r.word_set").alias("r1")).distinct())
 
     few = near.count() <= BROADCAST_ROWS
@@ -209,15 +275,15 @@ def cross_split_overlap(left: DataFrame, right: DataFrame, similarity: float = 0
         texts.append(df.join(small(first), "id"))
     a = texts[0].select(F.col("h1").alias("l1"), F.col("h2").alias("l2"), F.col("text").alias("left_text"))
     b = texts[1].select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("text").alias("right_text"))
-    exact = near.join(a, "l1").join(b, "r1").mapInPandas(_exact, "r1 long, l1 long, l2 long, r2 long, common int, in_left int, in_right int")
+    exact = near.join(a, "l1").join(b, "r1").mapInPandas(_exact(shared), "r1 long, l1 long, l2 long, r2 long, common int, in_left int, in_right int, cosine double")
     union = F.col("in_left") + F.col("in_right") - F.col("common")
-    same = exact.filter(F.col("common") >= union * similarity - 1e-9)
+    same = exact.filter(F.col("cosine") >= cosine - 1e-9) if idf else exact.filter(F.col("common") >= union * similarity - 1e-9)
     x = members[0].select(F.col("id").alias("left_id"), F.col("h1").alias("l1"), F.col("h2").alias("l2"))
     y = members[1].select(F.col("id").alias("right_id"), F.col("h1").alias("r1"), F.col("h2").alias("r2"))
     return (
         same.join(x, ["l1", "l2"])
         .join(y, ["r1", "r2"])
-        .select("left_id", "right_id", "common", (F.col("common") / union).alias("similarity"), (F.col("common") / F.sqrt(F.col("in_left") * F.col("in_right").cast("double"))).alias("cosine"))
+        .select("left_id", "right_id", "common", (F.col("common") / union).alias("similarity"), "cosine")
     )
 
 
