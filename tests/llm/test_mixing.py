@@ -50,6 +50,14 @@ def test_blocks_and_partitions_do_not_matter(spark):
     assert capped == {"big": 1, "small": 5, "absent": 0}
 
 
+def test_many_blocks_land_in_levels(spark):
+    sizes, targets = frames(spark)
+    mixed = mixing.mix(sizes, targets, total=100_000.0, block=10)
+    per = {r["source"]: (r["tokens"], r["most"]) for r in mixing.shares(mixed, targets).collect()}
+    assert per["big"][0] == pytest.approx(60_000, abs=600) and per["small"][0] == pytest.approx(40_000, abs=600) and per["big"][1] == 1
+    assert mixed.count() == mixed.select("id").distinct().count()
+
+
 def test_nothing(spark):
     sizes, targets = frames(spark)
     assert mixing.mix(sizes.limit(0), targets).collect() == [] and mixing.mix(sizes, targets.limit(0)).collect() == []

@@ -4,12 +4,13 @@ Each source gets a number of whole repeats of all its documents, and a part of t
 method: all documents start with the same fractional probability, and the probabilities move through the null space of two
 balancing constraints, tokens and documents, until one after another arrives at 0 or 1; the totals stay what they are all
 the while. A source is split into blocks by a hash of the ids, which move at the same time and leave at most two documents
-undecided each. These move on among themselves, and the few that remain in the end land by giving up the constraint on
+undecided each. These move on among themselves, in blocks again while there are too many for one task, and the few that remain in the end land by giving up the constraint on
 tokens, then chance.
 """
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable
 
@@ -70,10 +71,10 @@ def landing(p: list[float], draw: Callable[[], float]) -> list[float]:
     return p
 
 
-def _fly(seed: int, land: bool):
+def _fly(seed: int, land: bool, level: int = 0):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["turn", "id"], kind="stable")
-        draw = random.Random(f"{seed}/{land}/{key}").random
+        draw = random.Random(f"{seed}/{land}/{key}" + (f"/{level}" if level else "")).random
         p = flight(pdf["tokens"].tolist(), pdf["p"].tolist(), draw)
         if land:
             p = landing(p, draw)
@@ -110,7 +111,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed:
     See plan() for the arguments; ids must be unique. Null sources, sources without a target and an empty table give nothing;
     documents of no tokens take part in the draw of documents. The same seed gives the same mix whatever the partitions.
     """
-    sizes = sizes.select("id", "source", "tokens")
+    sizes = cut(sizes.select("id", "source", "tokens"))  # texts are tokenised once
     what = plan(sizes, targets, total).filter("documents > 0")
     what = what.select("source", "documents", "whole", "part")
     if targets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -119,8 +120,15 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed:
     asked = docs.filter(F.col("part") > _EPS).withColumn("block", F.pmod(F.col("turn"), F.ceil(F.col("documents") / block))).withColumn("p", F.col("part"))
     schema = "id long, source string, tokens long, turn long, block long, p double"
     flown = cut(asked.select("id", "source", "tokens", "turn", "block", "p").groupBy("source", "block").applyInPandas(_fly(seed, False), schema))
-    rest = flown.filter("p > 0 and p < 1").groupBy("source").applyInPandas(_fly(seed, True), schema)
-    drawn = flown.filter("p = 1").select("id").unionByName(rest.filter("p = 1").select("id")).withColumn("once", F.lit(1))
+    drawn, rest = flown.filter("p = 1").select("id"), flown.filter("p > 0 and p < 1")
+    # Each block leaves two documents or fewer. Where a source has too many blocks for one task, what they leave flies again, in fewer blocks.
+    blocks, wide, level = math.ceil((what.agg(F.max("documents")).first()[0] or 0) / block), max(2, block // 2), 0
+    while blocks > wide:
+        blocks, level = math.ceil(blocks / wide), level + 1
+        again = cut(rest.withColumn("block", F.floor(F.col("block") / wide)).groupBy("source", "block").applyInPandas(_fly(seed, False, level), schema))
+        drawn, rest = drawn.unionByName(again.filter("p = 1").select("id")), again.filter("p > 0 and p < 1")
+    rest = rest.groupBy("source").applyInPandas(_fly(seed, True), schema)
+    drawn = drawn.unionByName(rest.filter("p = 1").select("id")).withColumn("once", F.lit(1))
     repeats = (F.col("whole") + F.coalesce("once", F.lit(0))).cast("int")
     return docs.join(drawn, "id", "left").select("id", "source", "tokens", repeats.alias("repeats")).filter("repeats > 0")
 
