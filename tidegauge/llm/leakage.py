@@ -12,6 +12,7 @@ If there are more passages than fit in one table, the tables are built in blocks
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -82,9 +83,17 @@ class Patterns:
         return hits
 
 
+#: The tables that this worker built last, by the name they were sent under; a worker runs many tasks.
+_BUILT: dict[str, Patterns] = {}
+
+
 def _search(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        patterns = Patterns(*shared.value)
+        name, block, span = shared.value
+        patterns = _BUILT.get(name)
+        if patterns is None:
+            _BUILT.clear()
+            patterns = _BUILT[name] = Patterns(block, span)
         for batch in batches:
             ids, items = [], []
             for ident, text in zip(batch["id"], batch["text"]):
@@ -108,7 +117,7 @@ def leaked_passages(corpus: DataFrame, passages: DataFrame, span: int = 12, tabl
     result, block, held = None, [], 0
 
     def add(result, block):
-        sent = spark.sparkContext.broadcast((block, span))
+        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, block, span))
         part = docs.mapInPandas(_search(sent), "id long, item long")
         return part if result is None else result.unionByName(part)
 
