@@ -114,7 +114,8 @@ class Words:
         return np.where(self.counts[side][bucket] > 0, w / np.sqrt(w * w + np.maximum(0, self.least[side][bucket] - 1)), 0.0)
 
 
-_POSTING = "term long, word_set long, n int, rest double, b0 long, b1 long, b2 long, b3 long"
+#: Rests are counts of words with equal weights, else lengths.
+_POSTING = "term long, word_set long, n int, rest {}, b0 long, b1 long, b2 long, b3 long"
 
 
 def _suffix(x: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -174,7 +175,7 @@ def _postings(side: int, similarity: float, shared, cosine: float):
                 longest = m - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
                 shortest = m - np.ceil(2 * similarity / (1 + similarity) * n - 1e-9).astype(np.int64) + 1
                 keep &= at < longest[rec]
-                early, rest = at < shortest[rec], (m[rec] - at).astype(np.float64)
+                early, rest = at < shortest[rec], (m[rec] - at).astype(np.int32)
             h, rec, count, rest, early = h[keep], rec[keep], count[keep], rest[keep], early[keep]
             # List 0: the left record's early words with all of the right one's; list 1: its late words with early ones.
             if side == 0:
@@ -252,9 +253,9 @@ def _joined(left: DataFrame, right: DataFrame, similarity: float | None, cosine:
         rows = counted[counted["side"] == kind]
         for k in (0, 1):
             of[k][rows["id"]] = rows[columns[k]]
-    shared = spark.sparkContext.broadcast(Words(counts, least, survey.filter("side < 2").count() if idf else 0, idf))
+    shared = spark.sparkContext.broadcast(Words(counts, np.minimum(least, 1 << 30).astype(np.int32), survey.filter("side < 2").count() if idf else 0, idf))
 
-    lists = [df.select("text").mapInPandas(_postings(k, similarity, shared, cosine), _POSTING).alias(a) for k, (df, a) in enumerate(((one, "l"), (two, "r")))]
+    lists = [df.select("text").mapInPandas(_postings(k, similarity, shared, cosine), _POSTING.format("double" if idf else "int")).alias(a) for k, (df, a) in enumerate(((one, "l"), (two, "r")))]
     differ = sum((F.bit_count(F.col(f"l.b{k}").bitwiseXOR(F.col(f"r.b{k}"))) for k in range(1, 4)), F.bit_count(F.col("l.b0").bitwiseXOR(F.col("r.b0"))))
     size = F.col("l.n") + F.col("r.n")
     reach = F.col("l.rest") * F.col("r.rest") >= cosine - 1e-6
