@@ -106,3 +106,31 @@ def test_weighted_against_all_pairs(spark, seed, cosine):
     got = {(r["left_id"], r["right_id"]): r["cosine"] for r in overlap.weighted_overlap(*frames, cosine=cosine).collect()}
     assert got.keys() == expected.keys() and len(got) > 5 and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
     assert overlap.weighted_overlap(frames[0].limit(0), frames[1]).collect() == []
+
+
+@pytest.mark.parametrize("block, own", [(1 << 16, 1 << 12), (40, 8), (1, 1)])
+def test_lists_hold_equal_entries_of_many_tasks_once(monkeypatch, block, own):
+    """Copies that tasks wrote into a list add no meetings, wherever batches and blocks end; whatever brute force lets through is met."""
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(overlap, "BLOCK", block)
+    monkeypatch.setattr(overlap, "OWN_BLOCK", own)
+    monkeypatch.setattr(overlap, "ROWS_AT_ONCE", 2)
+    rng, rows = np.random.default_rng(5), []
+    bases = [rng.integers(0, 2, 256).astype(bool) for _ in range(3)]
+    for word_set in range(150):
+        flips = rng.random(256) < rng.choice([0.0, 0.01, 0.04])
+        n = int(rng.integers(45, 60))
+        bits = np.packbits(bases[word_set % 3] ^ flips).view(np.int64)
+        rows.append((int(rng.integers(-4, 4)), word_set, n if rng.random() < 0.6 else -n, int(rng.integers(30, n + 1)), *bits.tolist()))
+    frame = pd.DataFrame(rows, columns=["term", "word_set", "n", "rest", "b0", "b1", "b2", "b3"])
+    expected, together = set(), [int.from_bytes(np.array(r[4:], np.int64).tobytes(), "big") for r in rows]
+    for r, p in zip(rows, together):
+        for s, q in zip(rows, together):
+            size = r[2] - s[2]
+            if r[0] == s[0] and r[2] > 0 > s[2] and min(r[3], s[3]) * 1.8 >= size * 0.8 - 1e-6 and (p ^ q).bit_count() <= size * 0.2 / 1.8 + 1e-6:
+                expected.add((r[1], s[1]))
+    copies = pd.concat([frame] * 7).sort_values("term", kind="stable", ignore_index=True)
+    got = [tuple(p) for k in (13, 100, 5_000) for d in overlap._meetings(0.8, 8 / 9)(copies.iloc[i : i + k] for i in range(0, len(copies), k)) for p in d.itertuples(index=False)]
+    assert len(got) == 3 * len(expected) > 20 and set(got) == expected

@@ -13,7 +13,8 @@ the inverted lists short, none of which loses a pair:
 * at a meeting in a list, the residuals of both records and, with equal weights, a 256-bit sketch of each (bits that differ are at
   most words that differ) must leave the bound within reach.
 
-What is left gets its exact dot product from the texts. Equal word sets are one class from the start: each
+Lists come sorted to the tasks, which hold one at a time and compare its two sides in blocks of arrays; a word set that several tasks wrote into a
+list stands in it once. What is left gets its exact dot product from the texts. Equal word sets are one class from the start: each
 class is joined once, and pairs of records come from the classes at the very end.
 """
 
@@ -38,6 +39,8 @@ NONE = 1 << 40
 HOT_RECORDS = 500_000
 #: Words and word sets that one task remembers at a time.
 REMEMBERED = 400_000
+#: About so many meetings are compared at a time, for so many left entries at least; from so many meetings on a list is compared by itself.
+BLOCK, ROWS_AT_ONCE, OWN_BLOCK = 1 << 16, 16, 1 << 12
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -114,7 +117,7 @@ class Words:
         return np.where(self.counts[side][bucket] > 0, w / np.sqrt(w * w + np.maximum(0, self.least[side][bucket] - 1)), 0.0)
 
 
-#: Rests are counts of words with equal weights, else lengths.
+#: Rests are counts of words with equal weights, else lengths; n is negative in entries of the right side.
 _POSTING = "term long, word_set long, n int, rest {}, b0 long, b1 long, b2 long, b3 long"
 
 
@@ -194,13 +197,116 @@ def _postings(side: int, similarity: float, shared, cosine: float):
             term = _mix(h[pick] + (2 * salt + which).astype(np.uint64) * _M2, _M1)
             rec, rest = rec[pick], rest[pick]
             yield pd.DataFrame(
-                {"term": term.view(np.int64), "word_set": one[rec], "n": n[rec].astype(np.int32), "rest": rest}
+                {"term": term.view(np.int64), "word_set": one[rec], "n": (-n if side else n)[rec].astype(np.int32), "rest": rest}
                 | {f"b{k}": sketch[rec, k] for k in range(4)}
             )
 
     return run
 
 
+class _Lists:
+    """Whole lists (entries sorted by term): which of a list's left word sets may reach the bound with which of its right ones."""
+
+    def __init__(self, entries: pd.DataFrame, similarity: float | None, cosine: float) -> None:
+        self.similarity, self.cosine = similarity, cosine
+        term, word_set, n, rest = (entries[c].to_numpy() for c in ("term", "word_set", "n", "rest"))
+        bits = [entries[f"b{k}"].to_numpy().view(np.uint64) for k in range(4)]
+        # With equal weights, the most words that a partner met here can have.
+        most = np.zeros(len(n), np.int64) if similarity is None else np.floor(rest * ((1 + similarity) / similarity) - np.abs(n) + 1e-6).astype(np.int64)
+        order = np.lexsort((word_set, most, np.abs(n), n < 0, term))
+        # Tasks that read equal records wrote equal entries.
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in (term, n, word_set, bits[0])], axis=0)
+        kept = order[new]
+        self.word_set, self.n, self.rest, self.most, self.bits = word_set[kept], np.abs(n[kept]).astype(np.int64), rest[kept], most[kept], [b[kept] for b in bits]
+        term, right = term[kept], n[kept] < 0
+        self.start = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+        self.end = np.append(self.start[1:], len(term))
+        self.middle = self.start + np.add.reduceat((~right).astype(np.int64), self.start)
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        left, right = self.middle - self.start, self.end - self.middle
+        own = left * right >= OWN_BLOCK
+        for start, middle, end in zip(self.start[own].tolist(), self.middle[own].tolist(), self.end[own].tolist()):
+            yield from self._block(start, middle, end)
+        # Short lists are laid out together, a row of right entries for each left one.
+        few = (left * right > 0) & ~own
+        left, right, start, middle = left[few], right[few], self.start[few], self.middle[few]
+        x = np.arange(left.sum()) + np.repeat(start - np.cumsum(left) + left, left)
+        first, width = np.repeat(middle, left), np.repeat(right, left)
+        until = np.cumsum(width)
+        at = 0
+        while at < len(x):
+            to = max(at + 1, int(np.searchsorted(until, until[at] + BLOCK)))
+            w = width[at:to]
+            yield self._within_reach(np.repeat(x[at:to], w), np.arange(w.sum()) + np.repeat(first[at:to] - np.cumsum(w) + w, w))
+            at = to
+
+    def _block(self, start: int, middle: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Both sides of a list stand in the order of their sizes, so few rows of the left one ask for the same part of the right one."""
+        step = max(ROWS_AT_ONCE, BLOCK // (end - middle))
+        for a in range(start, middle, step):
+            x = slice(a, min(middle, a + step))
+            y = np.arange(middle, end)
+            if self.similarity is not None:
+                least, largest = self.n[a], self.n[x.stop - 1]
+                sizes = self.n[middle:end]
+                first = np.searchsorted(sizes, least * self.similarity - 1e-6)
+                last = np.searchsorted(sizes, min(largest / self.similarity + 1e-6, self.most[x].max()), "right")
+                y = middle + first + np.flatnonzero(self.most[middle + first : middle + last] >= least)
+            at_once = max(1, 4 * BLOCK // (x.stop - a))
+            for k in range(0, len(y), at_once):
+                part = y[k : k + at_once]
+                if self.similarity is None:
+                    near = self.rest[x, None] * self.rest[None, part] >= self.cosine - 1e-6
+                else:
+                    apart = np.floor((largest + self.n[part]) * ((1 - self.similarity) / (1 + self.similarity)) + 1e-6)
+                    differ = np.bitwise_count(self.bits[0][x, None] ^ self.bits[0][None, part])
+                    differ += np.bitwise_count(self.bits[1][x, None] ^ self.bits[1][None, part])
+                    near = differ <= np.minimum(apart, 255).astype(np.uint8)
+                met = np.flatnonzero(near)
+                if len(met):
+                    i, j = np.divmod(met, len(part))
+                    yield self._within_reach(i + a, part[j])
+
+    def _within_reach(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.similarity is None:
+            near = self.rest[x] * self.rest[y] >= self.cosine - 1e-6
+        else:
+            size = self.n[x] + self.n[y]
+            near = np.minimum(self.rest[x], self.rest[y]) * (1 + self.similarity) >= size * self.similarity - 1e-6
+            differ = sum(np.bitwise_count(b[x] ^ b[y]).astype(np.int64) for b in self.bits)
+            near &= differ <= size * ((1 - self.similarity) / (1 + self.similarity)) + 1e-6
+        return self.word_set[x[near]], self.word_set[y[near]]
+
+
+def _meetings(similarity: float | None, cosine: float):
+    """The word sets l1, r1 that meet in a list and may reach the bound; entries come sorted by term."""
+
+    def met(entries: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x, y in _Lists(pd.concat(entries), similarity, cosine).pairs():
+            if len(x):
+                yield pd.DataFrame({"l1": x, "r1": y})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_list: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            term = batch["term"].to_numpy()
+            ended = int(np.searchsorted(term, term[-1]))
+            if open_list and (ended or open_list[-1]["term"].iloc[0] != term[-1]):
+                yield from met([*open_list, batch.iloc[:ended]])
+                open_list = []
+            elif ended:
+                yield from met([batch.iloc[:ended]])
+            open_list.append(batch.iloc[ended:])
+        if open_list:
+            yield from met(open_list)
+
+    return run
+
+
 def _exact(shared):
     """Words in common and the exact dot product of each pair of texts."""
 
@@ -255,14 +361,9 @@ def _joined(left: DataFrame, right: DataFrame, similarity: float | None, cosine:
             of[k][rows["id"]] = rows[columns[k]]
     shared = spark.sparkContext.broadcast(Words(counts, np.minimum(least, 1 << 30).astype(np.int32), survey.filter("side < 2").count() if idf else 0, idf))
 
-    lists = [df.select("text").mapInPandas(_postings(k, similarity, shared, cosine), _POSTING.format("double" if idf else "int")).alias(a) for k, (df, a) in enumerate(((one, "l"), (two, "r")))]
-    differ = sum((F.bit_count(F.col(f"l.b{k}").bitwiseXOR(F.col(f"r.b{k}"))) for k in range(1, 4)), F.bit_count(F.col("l.b0").bitwiseXOR(F.col("r.b0"))))
-    size = F.col("l.n") + F.col("r.n")
-    reach = F.col("l.rest") * F.col("r.rest") >= cosine - 1e-6
-    if not idf:
-        reach = (F.least("l.rest", "r.rest") * (1 + similarity) >= size * similarity - 1e-6) & (differ <= size * ((1 - similarity) / (1 + similarity)) + 1e-6)
-    met = lists[0].join(lists[1].hint("shuffle_hash"), (F.col("l.term") == F.col("r.term")) & reach)
-    near = cut(met.select(F.col("l.word_set").alias("l1"), F.col("r.word_set").alias("r1")).distinct())
+    lists = [df.select("text").mapInPandas(_postings(k, similarity, shared, cosine), _POSTING.format("double" if idf else "int")) for k, df in enumerate((one, two))]
+    met = lists[0].unionByName(lists[1]).repartition("term").sortWithinPartitions("term").mapInPandas(_meetings(None if idf else similarity, cosine), "l1 long, r1 long")
+    near = cut(met.distinct())
 
     few = near.count() <= BROADCAST_ROWS
     small = F.broadcast if few else (lambda df: df)
