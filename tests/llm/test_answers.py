@@ -154,3 +154,26 @@ def test_links_against_all_pairs(spark, monkeypatch):
     for a, b in pairs:
         root[find(a)] = find(b)
     assert all(find(t) == find(c) for t, c in got.items())
+
+
+def test_links_leave_no_pair_out(spark, monkeypatch):
+    """Whatever order and buckets do, all pairs of openings that belong together end in one cluster, also those of two lengths."""
+    import random
+
+    rng = random.Random(11)
+    pool = [f"w{k}" for k in range(400)]
+    pairs = []
+    for k in range(300):
+        said = rng.sample(pool, rng.randint(5, 8))
+        said[rng.randrange(len(said))] = f"one{k}"
+        other = said[:]
+        at = rng.randrange(len(said))
+        if rng.random() < 0.5 or len(said) == 8:
+            other[at] = f"two{k}"
+        else:
+            other.insert(at, f"two{k}")
+        pairs.append((" ".join(said), " ".join(other)))
+    monkeypatch.setattr(answers, "HOT_BUCKET", 2)
+    openings = sorted({t for p in pairs for t in p})
+    got = {r["opening"]: r["cluster"] for r in answers.opening_clusters(spark.createDataFrame([(t,) for t in openings], "opening string")).collect()}
+    assert [p for p in pairs if got[p[0]] != got[p[1]]] == []

@@ -1,7 +1,8 @@
 """Problem 3: defective answers of question-answer records, each with its type of defect.
 
 Refusals are found by recurrence alone, without a list of phrases. Openings of answers (eight words, numbers and names masked)
-are clustered by MinHash over their words, each link verified by the exact share of words in the same order, so that one word that
+are clustered by MinHash over their words, each link verified by the exact share of words in the same order, and by the runs of words, some left out,
+that they share, which gives every link that MinHash and the neighbours in its buckets miss; so one word that
 varies splits no template of five words or more. A real answer bears content: a number or name that the question doesn't have, an option
 of the question or its label. A cluster that recurs across unrelated prompts and whose answers mostly bear none is a template of
 refusals. An answer is a refusal if it bears no number of its own and begins as a template does, or holds within its first
@@ -14,6 +15,8 @@ sentence (truncated).
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -30,6 +33,8 @@ from . import language
 #: Openings are linked if so much of the longer one's words stand in both in the same order.
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
+#: Openings of more words would have too many subsequences; those of the query have OPENING_WORDS.
+MOST_WORDS = 16
 #: Words of an opening, and words within which runs of a template are looked for; shorter texts than LEAST_WORDS are bare labels and phrases.
 OPENING_WORDS, RUN_WITHIN, RUN_WORDS, LEAST_WORDS = 8, 12, 5, 4
 #: Masked prompts that a cluster must recur across to be a template, the share of its answers that must bear no content, and the share of
@@ -290,11 +295,40 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(label, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
+def _subsequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The distinct subsequences of each opening that hold at least SIMILARITY of its words."""
+    for batch in batches:
+        keys, ids = [], []
+        for at, text in zip(batch["id"], batch["opening"]):
+            said = text.split()
+            if len(said) > MOST_WORDS:
+                raise ValueError(f"an opening has {len(said)} words; links are exact for {MOST_WORDS} at most")
+            found = {" ".join(kept) for k in range(math.ceil(SIMILARITY * len(said) - 1e-9), len(said) + 1) for kept in itertools.combinations(said, k)}
+            keys += found
+            ids += [at] * len(found)
+            if len(keys) > 50_000:
+                yield pd.DataFrame({"key": keys, "id": ids})
+                keys, ids = [], []
+        yield pd.DataFrame({"key": keys, "id": ids})
+
+
+def shared_links(openings: DataFrame) -> DataFrame:
+    """Links x, y that join all rows of ``openings`` (id, opening) of which SIMILARITY of the longer one's words stand in both in the same order.
+
+    Such a pair has a subsequence of just so many words in common, which both have as a key. All openings with a key are
+    similar to each other, as the key holds SIMILARITY of the words of each: a link of each to the least one joins them all, and none needs to be verified.
+    """
+    keyed = openings.select("id", "opening").mapInPandas(_subsequences, "key string, id long")
+    least = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("y")).filter("n > 1").drop("n")
+    return keyed.join(least, "key").filter("id != y").select(F.col("id").alias("x"), "y").distinct()
+
+
 def opening_links(openings: DataFrame) -> DataFrame:
-    """Verified links x, y between the rows of ``openings`` (id, opening; opening is distinct).
+    """Links x, y between the rows of ``openings`` (id, opening; opening is distinct) that join whatever belongs together.
 
     In each band bucket an opening is held against the bucket's least one and its neighbours in the orders of the openings read from the start and from the end.
-    Buckets are never expanded to all their pairs, and crowded ones are cut into parts that keep the least one in common.
+    Buckets are never expanded to all their pairs, and crowded ones are cut into parts that keep the least one in common. What is similar without
+    meeting there is joined by ``shared_links``.
     """
     from pyspark.sql import Window
 
@@ -306,7 +340,7 @@ def opening_links(openings: DataFrame) -> DataFrame:
     beside = keyed.select("id", "opening", "least", F.lag(own).over(part.orderBy("opening")).alias("before"), F.lag(own).over(part.orderBy("back")).alias("behind"))
     beside = beside.select("id", "opening", F.explode(F.array("least", "before", "behind")).alias("y"))
     pairs = beside.filter("y is not null and id != y.id").select(F.greatest("id", "y.id").alias("x"), F.least("id", "y.id").alias("y"), F.col("opening").alias("s"), F.col("y.opening").alias("t"))
-    return pairs.dropDuplicates(["x", "y"]).mapInPandas(_verify, "x long, y long")
+    return pairs.dropDuplicates(["x", "y"]).mapInPandas(_verify, "x long, y long").unionByName(shared_links(openings))
 
 
 def opening_clusters(openings: DataFrame) -> DataFrame:
